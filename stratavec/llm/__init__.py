@@ -6,7 +6,7 @@ third-party libraries they use but not this package itself.
 
 from pyspark import cloudpickle
 
-from . import chat, packing, textkit, toxicity
+from . import chat, decontam, language, linededup, neardup, packing, quality, textkit, toxicity
 
-for _module in (chat, packing, textkit, toxicity):
+for _module in (chat, decontam, language, linededup, neardup, packing, quality, textkit, toxicity):
     cloudpickle.register_pickle_by_value(_module)

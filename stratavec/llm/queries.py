@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, fingerprint, licenses, packing, toxicity
+from . import chat, decontam, fingerprint, language, licenses, linededup, neardup, packing, quality, toxicity
 from .work import table
 
 
+def op1_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op4_fingerprints(spark, sf_dir):
     return fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op7_chat_format(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -28,6 +46,12 @@ def op8_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark, sf_dir):
+    """The digest of each cleaned text: length and SHA-256, with the number of lines taken out."""
+    out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", F.length("text").cast("bigint").alias("chars_left"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -50,6 +74,11 @@ select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) |
 from e group by conv_id"""
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_language": op3_language,
+    "op5_decontamination": op5_decontamination,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op9_line_dedup": op9_line_dedup,
     "op2_toxicity": op2_toxicity,
     "op4_fingerprints": op4_fingerprints,
     "op7_chat_format": op7_chat_format,

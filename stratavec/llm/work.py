@@ -73,8 +73,8 @@ def components(spark: SparkSession, edges: DataFrame, kind: str, scratch: Scratc
     labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{tag}-0")
     round_ = 0
     while True:
-        told = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("m"))
-        spread = labels.join(told, labels.node == told.to, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
+        told = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("dest")).agg(F.min("label").alias("m"))
+        spread = labels.join(told, labels.node == told.dest, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
         spread = scratch.keep(spread, f"{tag}-{round_}-spread")
         up = spread.select(F.col("node").alias("via"), F.col("label").alias("far"))
         new = spread.join(up, spread.label == up.via, "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
@@ -86,3 +86,23 @@ def components(spark: SparkSession, edges: DataFrame, kind: str, scratch: Scratc
         if not moved:
             scratch.drop(f"{tag}-edges")
             return labels
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """rows with `value` looked up in table(keys, members, value), null where absent.
+
+    A key may hold a large part of all rows.  Keys with more than 1/1000 of
+    them, fewer than 1000 whatever the input, are looked up in a broadcast
+    table; their rows go through the keyed join that serves the others under a
+    hash of their own and without a match.  Keys are bigint.
+    """
+    total = rows.count()
+    hot = table.where(F.col("members") * 1000 > total).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(value).alias("_hot"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    first = rows.join(F.broadcast(hot), on, "left")
+    found = F.col(f"_{keys[0]}").isNotNull()
+    own = [F.when(found, F.xxhash64(*[rows[c] for c in rows.columns], F.lit(i))).otherwise(F.col(k)).alias(f"_k_{k}") for i, k in enumerate(keys)]
+    first = first.select(*rows.columns, F.col("_hot"), *own, F.when(~found, 1).alias("_k"))
+    cold = table.where(F.col("members") * 1000 <= total).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(1).alias("_c"), F.col(value).alias("_cold"))
+    both = first.join(cold, [F.col(f"_k_{k}") == F.col(f"_c_{k}") for k in keys] + [F.col("_k") == F.col("_c")], "left")
+    return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias(value))
