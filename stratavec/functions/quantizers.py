@@ -47,9 +47,6 @@ class _Scaled:
     scales: list[float] = field(default_factory=list)
     LEVELS = 1
 
-    def _matrix(self) -> np.ndarray | None:
-        return random_rotation(self.dimension) if self.rotation and self.scales else None
-
     def train(self, df: DataFrame, vector: str):
         """Scales are the largest size in each dimension (of the vectors as they are, rotated or not); 1 if that is 0."""
         rows = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.max(F.abs("x")).alias("m")).collect()
@@ -57,17 +54,42 @@ class _Scaled:
         self.scales = [most.get(i, 1.0) for i in range(self.dimension)] if most else []
         return self
 
+    def _scales(self) -> list[float]:
+        return self.scales or [1.0] * self.dimension
+
+    @property
+    def turned(self) -> bool:
+        return bool(self.rotation and self.scales)
+
     def _codes(self, vector: Column) -> Column:
-        matrix = self._matrix()
-        v = rotate(vector, matrix) if matrix is not None else vector
-        scales = F.array(*[F.lit(s) for s in self.scales or [1.0] * self.dimension])
-        return F.transform(v, lambda x, i: (F.greatest(F.least(_clean(x) / F.coalesce(F.get(scales, i), F.lit(1.0)), F.lit(1.0)), F.lit(-1.0)) * self.LEVELS).cast("tinyint"))
+        if self.turned:
+            return self._turned_codes(vector)
+        scales = F.array(*[F.lit(s) for s in self._scales()])
+        return F.transform(vector, lambda x, i: (F.greatest(F.least(_clean(x) / F.coalesce(F.get(scales, i), F.lit(1.0)), F.lit(1.0)), F.lit(-1.0)) * self.LEVELS).cast("tinyint"))
 
     def _values(self, codes: Column) -> Column:
-        scales = F.array(*[F.lit(s) for s in self.scales or [1.0] * self.dimension])
-        v = F.transform(codes, lambda c, i: c.cast("double") / self.LEVELS * F.coalesce(F.get(scales, i), F.lit(1.0)))
-        matrix = self._matrix()
-        return rotate(v, matrix, inverse=True) if matrix is not None else v
+        if self.turned:
+            return self._turned_values(codes)
+        scales = F.array(*[F.lit(s) for s in self._scales()])
+        return F.transform(codes, lambda c, i: c.cast("double") / self.LEVELS * F.coalesce(F.get(scales, i), F.lit(1.0)))
+
+    def _turned_codes(self, vector: Column, pack=lambda c: c) -> Column:
+        m, scales, levels = random_rotation(self.dimension), np.array(self.scales), self.LEVELS
+
+        @F.pandas_udf("array<tinyint>")
+        def run(v: pd.Series) -> pd.Series:
+            return v.map(lambda x: None if x is None else pack(np.trunc(np.clip(np.nan_to_num(m @ np.asarray(x, np.float64), nan=0, posinf=0, neginf=0) / scales, -1, 1) * levels).astype(np.int8)))
+
+        return run(vector)
+
+    def _turned_values(self, codes: Column, unpack=lambda c: c) -> Column:
+        m, scales, levels = random_rotation(self.dimension), np.array(self.scales), self.LEVELS
+
+        @F.pandas_udf("array<double>")
+        def run(c: pd.Series) -> pd.Series:
+            return c.map(lambda x: None if x is None else m.T @ (np.asarray(unpack(x), np.float64) / levels * scales))
+
+        return run(codes)
 
     def save(self) -> str:
         return json.dumps({"dimension": self.dimension, "rotation": self.rotation, "scales": self.scales})
@@ -91,6 +113,18 @@ class Int8(_Scaled):
         return self._values(codes)
 
 
+def _pack_bytes(codes: np.ndarray, low_first: bool) -> np.ndarray:
+    n = np.append(codes, [0] * (len(codes) % 2)).astype(np.uint8) & 15
+    return (n[::2] | n[1::2] << 4 if low_first else n[::2] << 4 | n[1::2]).view(np.int8)
+
+
+def _unpack_bytes(packed, dimension: int, low_first: bool) -> np.ndarray:
+    b = np.asarray(packed, np.int8).view(np.uint8)
+    pair = (b & 15, b >> 4) if low_first else (b >> 4, b & 15)
+    n = np.stack(pair, axis=1).ravel()[:dimension].astype(np.int16)
+    return np.where(n > 7, n - 16, n)
+
+
 class Int4(_Scaled):
     """Two codes a byte, the even dimension in the high nibble (`low_first` for the other order)."""
 
@@ -101,9 +135,13 @@ class Int4(_Scaled):
         return (self.dimension + 1) // 2
 
     def encode(self, vector: Column, low_first: bool = False) -> Column:
+        if self.turned:
+            return self._turned_codes(vector, lambda c: _pack_bytes(c, low_first))
         return pack_int4(self._codes(vector), low_first)
 
     def decode(self, packed: Column, low_first: bool = False) -> Column:
+        if self.turned:
+            return self._turned_values(packed, lambda b: _unpack_bytes(b, self.dimension, low_first))
         return self._values(unpack_int4(packed, self.dimension, low_first))
 
     def rounded(self, vector: Column) -> Column:
@@ -138,7 +176,7 @@ class RaBitQ:
 
     def decode(self, code: Column) -> Column:
         scale = F.when(code["norm"] > 0, code["norm"].cast("double") / float(np.sqrt(self.dimension))).otherwise(1.0)
-        on = lambda i: F.shiftright(F.get(code["bits"], F.floor(i / 8).cast("int")), (i % 8).cast("int")).bitwiseAND(1) == 1
+        on = lambda i: F.floor(F.get(code["bits"], F.floor(i / 8).cast("int")) / F.pow(F.lit(2.0), i % 8)) % 2 == 1
         return F.transform(F.sequence(F.lit(0), F.lit(self.dimension - 1)), lambda i: F.when(on(i), scale).otherwise(-scale))
 
 
