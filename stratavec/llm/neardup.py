@@ -1,11 +1,12 @@
 """Near-duplicates: bottom-k sketches from one hash function, inverted lists, exact Jaccard.
 
 1. One pass over whole texts gives each document its shingle-set size, the
-   128-bit name of the set and the keys of its sketch.  The sketch is the K
-   smallest hashes of the set; a key is a run of RUN consecutive retained
-   values.  Of the union's hashes in order at most a share 1 - t is in one set
-   only, so two sets of similarity t or more share long runs: for sets within
-   the sketch a run is certain, beyond it one is missed once in 10^8 pairs.
+   128-bit name of the set and the keys of its sketch.  The sketch is the
+   smallest hashes of the set; a key is a run of consecutive retained values.
+   Of the union's hashes in order at most a share 1 - t is in one set only, so
+   two sets of similarity t or more share runs: for sets within the sketch a
+   run is certain, beyond it one is missed in about one of 10^7 pairs that are
+   just similar enough.
 2. Equal sets are one class (a mergeable aggregate, whatever the copies).
 3. Inverted lists: classes in a list are tied to the list's least class, not
    to each other, and the connected families are found.  Lists and families
@@ -35,9 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .work import Scratch, components, spread_join
+from .work import Members, Scratch, components, spread_join
 
-K = 64
 #: Shingles of a family that one task compares (64 MB of hashes).
 FAMILY = 8_000_000
 #: Shingles of a block of queries in step 5.
@@ -45,9 +45,9 @@ BLOCK = 2_000_000
 DESCRIBED = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>"
 
 
-def run_length(num: int, den: int) -> int:
-    """Length of the runs that sets of similarity num / den share."""
-    return 4 if 100 * num >= 85 * den else 3 if 100 * num >= 80 * den else 2 if 100 * num >= 70 * den else 1
+def runs_of(num: int, den: int) -> tuple[int, int]:
+    """(length of the runs, size of the sketch) for similarity num / den or more."""
+    return (3, 32) if 100 * num >= 85 * den else (2, 24) if 100 * num >= 80 * den else (2, 32) if 100 * num >= 70 * den else (1, 32)
 
 
 def set_name(shingles: np.ndarray) -> tuple[int, int]:
@@ -55,9 +55,10 @@ def set_name(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def list_keys(shingles: np.ndarray, run: int, num: int, den: int) -> np.ndarray:
+def list_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys of a set's inverted lists; small sets also use single values."""
-    low = shingles[:K]
+    run, size = runs_of(num, den)
+    low = shingles[:size]
     keys = textkit.ngrams(low, run)
     if len(shingles) * num <= 8 * den:
         keys = np.concatenate([keys, textkit.ngrams(low, 1)])
@@ -66,19 +67,17 @@ def list_keys(shingles: np.ndarray, run: int, num: int, den: int) -> np.ndarray:
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Step 1, for docs(doc_id, text)."""
-    run = run_length(num, den)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = textkit.WordHashes()
         for b in batches:
             n, hi, lo, keys = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = textkit.shingle_set(cache.of(textkit.words_of(t)), width)
+                s = textkit.shingle_set(textkit.word_hashes(textkit.words_of(t)), width)
                 x = set_name(s)
                 n.append(len(s))
                 hi.append(x[0])
                 lo.append(x[1])
-                keys.append(list_keys(s, run, num, den))
+                keys.append(list_keys(s, num, den))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "hi", "lo", "keys"])
@@ -146,7 +145,6 @@ def link_families(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Step 4 for rows(family, rep, hi, lo, text) dealt and sorted by family: (hi, lo, component_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = textkit.WordHashes()
         family, members = None, {}
 
         def linked():
@@ -163,7 +161,7 @@ def link_families(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     yield linked()
                     members = {}
                 family = f
-                s = textkit.shingle_set(cache.of(textkit.words_of(text)), width)
+                s = textkit.shingle_set(textkit.word_hashes(textkit.words_of(text)), width)
                 if (hi, lo) == set_name(s):  # another text of the same doc_id otherwise
                     members[hi, lo] = rep, s
         if members:
@@ -205,10 +203,9 @@ def link_large(rows: DataFrame, width: int, num: int, den: int, scratch: Scratch
         shared = spark.sparkContext.broadcast([(f, hi, lo, texts.get((hi, lo))) for f, hi, lo in queries])
 
         def compare(batches, shared=shared):
-            cache = textkit.WordHashes()
             by: dict[int, list] = {}
             for f, hi, lo, text in shared.value:
-                by.setdefault(f, []).append((hi, lo, textkit.shingle_set(cache.of(textkit.words_of(text)), width)))
+                by.setdefault(f, []).append((hi, lo, textkit.shingle_set(textkit.word_hashes(textkit.words_of(text)), width)))
             for f, own in by.items():
                 flat = np.concatenate([s for _, _, s in own])
                 owner = np.repeat(np.arange(len(own)), [len(s) for _, _, s in own])
@@ -220,7 +217,7 @@ def link_large(rows: DataFrame, width: int, num: int, den: int, scratch: Scratch
                     if f not in by:
                         continue
                     own, flat, owner, sizes = by[f]
-                    s = textkit.shingle_set(cache.of(textkit.words_of(text)), width)
+                    s = textkit.shingle_set(textkit.word_hashes(textkit.words_of(text)), width)
                     if not len(s) or (hi, lo) != set_name(s):
                         continue
                     a, z = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
@@ -254,14 +251,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     postings = described.where("doc_id is not null and n_shingles > 0").select("hi", "lo", "keys").dropDuplicates(["hi", "lo"]).select("hi", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least < most").select("key", "least")
-    ties = postings.join(lists, "key").where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct()
+    ties = postings.join(lists.hint("merge"), "key").where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct()
     families = components(spark, scratch.keep(ties, "ties"), "bigint", scratch, "families")
 
     members = classes.join(families, classes.hi == families.node).select("hi", "lo", "rep", "n", F.col("label").alias("family"))
     members = scratch.keep(members, "members")
     sizes = members.groupBy("family").agg(F.sum("n").alias("size"))
     large = sizes.where(F.col("size") > family).select("family")
-    texts = members.join(docs, members.rep == docs.doc_id).select("family", "rep", "hi", "lo", "n", "text")
+    wanted = Members(members.select("rep")).pick(docs, "doc_id")
+    texts = members.join(wanted.hint("merge"), members.rep == wanted.doc_id).select("family", "rep", "hi", "lo", "n", "text")
     small = texts
     any_large = bool(large.limit(1).count())
     if any_large:

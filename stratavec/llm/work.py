@@ -65,27 +65,33 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 def components(spark: SparkSession, edges: DataFrame, kind: str, scratch: Scratch, tag: str) -> DataFrame:
     """(node, label): the smallest node that each node of edges(a, b) reaches.
 
-    Minimum labels spread over the edges and are then shortened through the
-    label's own label; both steps are keyed joins and mergeable minima, so a
-    hub node is combined before it is shuffled.  Each round is a written table.
+    Rounds of contraction: each node points to its least neighbour, or that
+    one's least neighbour, if smaller; edges are moved to where their ends
+    point and what has become a loop goes.  Edges shrink with every round; each
+    node then follows the pointers of all rounds.  Minima are combined before
+    they are shuffled, so a hub costs a row a task.
     """
-    both = scratch.keep(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{tag}-edges")
-    labels = scratch.keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), f"{tag}-0")
-    round_ = 0
-    while True:
-        told = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("dest")).agg(F.min("label").alias("m"))
-        spread = labels.join(told, labels.node == told.dest, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("old"))
-        spread = scratch.keep(spread, f"{tag}-{round_}-spread")
-        up = spread.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        new = spread.join(up, spread.label == up.via, "left").select("node", F.least("label", F.coalesce("far", "label")).alias("label"), "old")
-        new = scratch.keep(new, f"{tag}-{round_ + 1}")
-        moved = new.where("label <> old").limit(1).count()
-        scratch.drop(f"{tag}-{round_}-spread")
-        scratch.drop(f"{tag}-{round_}")
-        labels, round_ = new.select("node", "label"), round_ + 1
-        if not moved:
-            scratch.drop(f"{tag}-edges")
-            return labels
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = scratch.keep(edges.where("a <> b").select(*ordered("a", "b")).distinct(), f"{tag}-edges-0")
+    nodes = scratch.keep(left.select(F.col("a").alias("node")).union(left.select("b")).distinct().withColumn("label", F.col("node")), f"{tag}-nodes")
+    steps: list[DataFrame] = []
+    while left.limit(1).count():
+        i = len(steps)
+        least = left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))  # only the greater end has a smaller neighbour
+        least = scratch.keep(least, f"{tag}-least-{i}")
+        far = least.select(F.col("node").alias("via"), F.col("to").alias("far"))
+        jump = scratch.keep(least.join(far, least["to"] == far.via, "left").select("node", F.coalesce("far", "to").alias("to")), f"{tag}-to-{i}")
+        steps.append(jump)
+        end_a = jump.select(F.col("node").alias("a"), F.col("to").alias("to_a"))
+        end_b = jump.select(F.col("node").alias("b"), F.col("to").alias("to_b"))
+        moved = left.join(end_a, "a", "left").join(end_b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        left = scratch.keep(moved.where("a <> b").select(*ordered("a", "b")).distinct(), f"{tag}-edges-{i + 1}")
+        scratch.drop(f"{tag}-edges-{i}")
+        scratch.drop(f"{tag}-least-{i}")
+    for step in steps:
+        last = step.select(F.col("node").alias("via"), F.col("to").alias("far"))
+        nodes = nodes.join(last, nodes.label == last.via, "left").select("node", F.coalesce("far", "label").alias("label"))
+    return scratch.keep(nodes, f"{tag}-labels")
 
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -106,3 +112,29 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], value: str)
     cold = table.where(F.col("members") * 1000 <= total).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.lit(1).alias("_c"), F.col(value).alias("_cold"))
     both = first.join(cold, [F.col(f"_k_{k}") == F.col(f"_c_{k}") for k in keys] + [F.col("_k") == F.col("_c")], "left")
     return both.select(*rows.columns, F.coalesce("_hot", "_cold").alias(value))
+
+
+#: Bits of a membership filter: a table of 2^20 rows (16 MB) at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+class Members:
+    """A filter of fixed size for a set of bigint ids: says no only for ids outside the set.
+
+    The filter is a broadcast table of 64-bit words with a bit for each hash
+    that occurs.  Rows that it refuses need no shuffle to meet the set.  It lets
+    1 % of the others through with 700,000 ids and nearly all with a billion:
+    then it saves nothing, but the keyed join that follows gives the same rows.
+    """
+
+    def __init__(self, ids: DataFrame):
+        place = F.xxhash64(F.col(ids.columns[0])).bitwiseAND(FILTER_BITS - 1)
+        bit = F.expr("shiftleft(1L, cast(_p & 63 as int))")
+        self.table = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+
+    def pick(self, rows: DataFrame, key: str, inside: bool = True) -> DataFrame:
+        """Rows whose key may be in the set, or (inside=False) those whose key isn't."""
+        place = F.xxhash64(F.col(key).cast("bigint")).bitwiseAND(FILTER_BITS - 1)
+        rows = rows.withColumn("_p", place)
+        hit = (F.shiftright("_p", 6) == F.col("_w")) & (F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1") == 1)
+        return rows.join(F.broadcast(self.table), hit, "left_semi" if inside else "left_anti").drop("_p")
