@@ -5,23 +5,12 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words are dropped from a task's cache beyond this many (about 200 MB).
-CACHE_WORDS = 1_000_000
-
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word's bytes, remembered for the words of one task."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; calling the hash is cheaper than remembering so many words."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -34,8 +23,8 @@ PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def plain_words(text: str | None) -> list[bytes]:
-    """Words without ASCII punctuation and symbols, with A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().translate(PLAIN).split() if text else []
+    """Words without ASCII punctuation and symbols, in lower case."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
 
 
 def mix(h: np.ndarray) -> np.ndarray:

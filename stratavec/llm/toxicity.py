@@ -7,7 +7,7 @@ over whole texts, without a shuffle.
 
 Cases: null and empty texts have no features and get the score of the bias;
 repeated rows are scored each; an empty table gives an empty result; without
-labelled rows every score is 0.5 of the untrained model; further columns of the
+LEAST_ROWS labelled rows of each kind every score is 0 and nothing is rejected; further columns of the
 input are kept by `reject` and ignored by `score`.
 """
 
@@ -30,6 +30,8 @@ EPOCHS = 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 #: A feature is learned only if so many documents of the sample have it.
 SEEN = 3
+#: Labelled rows of each kind without which nothing is learned.
+LEAST_ROWS = 5
 THRESHOLD = 0.5
 
 
@@ -42,9 +44,8 @@ def features(h: np.ndarray) -> np.ndarray:
 
 
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = textkit.WordHashes()
     for b in batches:
-        x = [np.unique(features(cache.of(textkit.plain_words(t)))).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
+        x = [np.unique(features(textkit.word_hashes(textkit.plain_words(t)))).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("y")], ["x", "y"])
 
 
@@ -56,6 +57,8 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, float]
     for x, _ in rows:
         seen[np.frombuffer(x, np.int32)] += 1
     data = sorted((x, int(y > 0)) for x, y in rows)
+    if min(sum(y == k for _, y in data) for k in (0, 1)) < LEAST_ROWS:
+        return np.empty(0, np.int32), np.empty(0, np.float32), -30.0
     order = np.random.default_rng(7)
 
     def weights(at):
@@ -90,12 +93,11 @@ def scorer(model):
     ids, weights, bias = model.value
     table = np.zeros(1 << BITS, np.float32)
     table[ids] = weights
-    cache = textkit.WordHashes()
 
     def score(texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, t in enumerate(texts):
-            x = features(cache.of(textkit.plain_words(t)))
+            x = features(textkit.word_hashes(textkit.plain_words(t)))
             x = np.unique(x[table[x] != 0])
             out[i] = 1 / (1 + np.exp(-np.clip(float(table[x].sum()) + bias, -30, 30)))
         return out
