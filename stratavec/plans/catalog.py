@@ -141,7 +141,7 @@ def vec_batch_topk(spark, sf_dir):
     f"""{Q_SQL}, d as (select vec_id, label, {dist_sql(COS_SQL)} as d from e, q order by d, vec_id limit 30),
 r as (select *, label::varchar as group_value, row_number() over (partition by label order by d, vec_id) as rank from d),
 g as (select group_value from r group by 1 order by 1 limit 5)
-select group_value, rank::int as rank, vec_id, round(d, 6) as distance from r join g using (group_value) where rank <= 2"""
+select group_value, rank::int as rank, vec_id, round(d, 6) + 0::double as distance from r join g using (group_value) where rank <= 2"""
 )
 def vec_group_by(spark, sf_dir):
     rows = search.group_topk(read(spark, sf_dir, "embeddings"), "embedding", first_vector(spark, sf_dir), "label", 5, 2, Metric.COSINE, "vec_id")
