@@ -4,9 +4,9 @@ Test items are the indexed documents, passages of training texts the queries.
 Impacts are divided by the item's own score (that of the item as a query), so
 one threshold holds for all items.  A passage is two consecutive segments, each
 as long as the longest item of the index, so a copied item lies in a passage
-whole.  Passages whose terms' largest impacts can't reach the threshold are
-passed over at once; the others go through block-max WAND, which returns every
-item above the threshold.  Such an item is a leak if the passage holds enough of
+whole.  Passages whose terms' largest impacts in no run of blocks reach the
+threshold are passed over at once; the others go through block-max WAND, which
+returns every item above the threshold.  Such an item is a leak if the passage holds enough of
 its word shingles, of its question's and of its answer's (the last sentence, or
 the second half of an item of one sentence).
 
@@ -36,7 +36,9 @@ K1, B = 1.2, 0.75
 #: Share of the item's own score that a passage must reach.
 THRESHOLD = 0.6
 #: Items a block of the postings covers.
-BLOCK = 8
+BLOCK = 2
+#: Runs of blocks whose bounds are summed for every passage.
+GROUPS = 128
 WIDTH = 5
 #: Shares of shingles: of the item, of its question and of its answer.
 WHOLE, PART = 0.8, 0.5
@@ -60,8 +62,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         items = [(i, t) for i, t in items if textkit.plain_words(t)]
+        common: dict[bytes, int] = {}
+        for _, t in items:
+            for w in set(textkit.plain_words(t)):
+                common[w] = common.get(w, 0) + 1
+        items.sort(key=lambda x: (max((common[w], w) for w in textkit.plain_words(x[1])), len(x[1])))  # like items share a block, so that its bounds are tight
         self.ids = [i for i, _ in items]
-        self.hashes = textkit.WordHashes()
         texts = [textkit.plain_words(t) for _, t in items]
         self.longest = max(map(len, texts), default=1)
         self.words = {w: n for n, w in enumerate(sorted({w for t in texts for w in t}))}
@@ -82,7 +88,9 @@ class Index:
             for w, x in raw.items():
                 postings.setdefault(w, []).append((d, x / total))
         self.items, self.impacts, self.tops = {}, {}, {}
-        self.bound = np.zeros(len(self.words) + 1)  # the last is for words that aren't indexed
+        self.bound = np.zeros(len(self.words))
+        run = BLOCK * max(1, -(-len(texts) // (BLOCK * GROUPS)))
+        self.groups = np.zeros((len(self.words), -(-len(texts) // run)), np.float32)
         for w, p in postings.items():
             self.items[w] = [d for d, _ in p]
             self.impacts[w] = [x for _, x in p]
@@ -90,11 +98,13 @@ class Index:
             for d, x in p:
                 tops[d // BLOCK] = max(tops.get(d // BLOCK, 0.0), x)
             self.tops[w] = tops
+            for d, x in p:
+                self.groups[w, d // run] = max(self.groups[w, d // run], np.nextafter(np.float32(x), np.float32(2)))
             self.bound[w] = max(self.impacts[w])
         self.parts = []
         for (_, text), words in zip(items, texts, strict=True):
             q, a = question_answer(text)
-            self.parts.append([(min(WIDTH, len(x)), set(textkit.shingle_set(self.hashes.of(x), WIDTH).tolist())) for x in (words, q, a)])
+            self.parts.append([(min(WIDTH, len(x)), set(textkit.shingle_set(textkit.word_hashes(x), WIDTH).tolist())) for x in (words, q, a)])
 
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """Every item whose score for the distinct terms is at least the threshold, by block-max WAND."""
@@ -157,11 +167,10 @@ def finder(index: Index, threshold: float = THRESHOLD):
         key = np.unique(passage[passage >= 0] * (none + 1) + np.concatenate([ids[at], ids[at]])[passage >= 0])
         p, t = key // (none + 1), key % (none + 1)
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        reach = np.add.reduceat(index.bound[t], starts)
+        reach = np.add.reduceat(index.groups[t], starts, axis=0).max(1)
         ends = np.append(starts[1:], len(p))
-        return [(int(p[a]) * segment, t[a:z].tolist()) for a, z, r in zip(starts.tolist(), ends.tolist(), reach.tolist(), strict=True) if r >= threshold - 1e-9]
+        return [(int(p[a]) * segment, t[a:z].tolist()) for a, z, r in zip(starts.tolist(), ends.tolist(), reach.tolist(), strict=True) if r >= threshold - 1e-4]
 
-    cache = textkit.WordHashes()
 
     def find(text: str | None) -> list[tuple]:
         own = textkit.plain_words(text)
@@ -172,7 +181,7 @@ def finder(index: Index, threshold: float = THRESHOLD):
             found = index.search(terms, threshold)
             if not found:
                 continue
-            h = cache.of(own[start : start + 2 * segment])
+            h = textkit.word_hashes(own[start : start + 2 * segment])
             grams: dict[int, set] = {}
             for item, score in found:
                 shares = []
