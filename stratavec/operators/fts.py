@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..functions import text as T
+from ..functions.vector import let
 
 K1, B = 1.2, 0.75
 
@@ -223,8 +224,8 @@ class FtsIndex:
         if len(tokens) == 1:
             return self.term(tokens[0])
         own = F.col("tokens")
-        fits = lambda i: F.array(*[F.get(own, i + j) == t for j, t in enumerate(tokens)])
-        starts = F.filter(F.sequence(F.lit(0), F.size(own) - len(tokens)), lambda i: F.forall(fits(i), lambda x: x))
+        fits = lambda t, i: reduce(lambda a, b: a & b, [F.get(t, i + j) == w for j, w in enumerate(tokens)])
+        starts = let(own, lambda t: F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - len(tokens), F.lit(0))), lambda i: fits(t, i)))
         rows = self.tokens.where(F.size(own) >= len(tokens)).where(F.array_contains(own, tokens[0]))
         rows = rows.select("key", F.size(own).alias("length"), F.size(starts).alias("tf")).where("tf > 0")
         df = self.tokens.agg(*[F.count_if(F.array_contains(own, t)).alias(f"df{i}") for i, t in enumerate(tokens)], F.count("*").alias("total"), F.avg(F.size(own).cast("double")).alias("mean"))
