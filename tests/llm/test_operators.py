@@ -118,6 +118,29 @@ def test_line_dedup_like_brute_force(spark, sf_dir):
         linededup.FAMILY_LINES = was
 
 
+def test_line_dedup_links_by_edit_similarity_alone(spark):
+    """Typos, changed and added words, against a comparison of all pairs."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 9)))
+    lines = []
+    for n in (5, 10, 20, 30, 50):
+        for _ in range(4):
+            words = [word() for _ in range(n)]
+            typo, other, more = " ".join(words), list(words), list(words)
+            at = int(rng.integers(len(typo)))
+            other[int(rng.integers(n))] = word()
+            more.insert(int(rng.integers(n)), "ab")
+            lines += [" ".join(words), typo[:at] + "q" + typo[at + 1 :], " ".join(other), " ".join(more)]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    plain = [linededup.normalise(x) for x in lines]
+    links = [(i, j) for i in range(len(plain)) for j in range(i) if linededup.similar(plain[i], plain[j])]  # all pairs; edits has a test of its own
+    first = {}
+    expected = {i for i, g in enumerate(brute.components(len(plain), links)) if first.setdefault(g, i) != i}
+    assert len(expected) > 50
+    got = {r.doc_id for r in linededup.dedup_lines(docs_of(spark, rows)).where("n_removed > 0").collect()}
+    assert got == expected
+
+
 @given(st.text("abc", max_size=40), st.text("abc", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_edit_distance(a, b):
