@@ -118,6 +118,15 @@ def test_line_dedup_like_brute_force(spark, sf_dir):
         linededup.FAMILY_LINES = was
 
 
+def test_short_lines_and_scripts_without_blanks_are_deduplicated(spark):
+    rng = np.random.default_rng(9)
+    rows = [(1, "Short.\nTwo words\n行行行"), (2, "short\nTWO  words!\n行行行\n---"), (3, "an extraordinary lime"), (4, "an extraordinary line")]
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9F00, 40)))
+    rows += [(5, text), (6, text), (7, text[:9] + "字" + text[10:]), (8, text[:30] + text[31:])]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "---", 3: rows[2][1], 4: "", 5: text, 6: "", 7: "", 8: ""}
+
+
 def test_line_dedup_links_by_edit_similarity_alone(spark):
     """Typos, changed and added words, against a comparison of all pairs."""
     rng = np.random.default_rng(8)
