@@ -10,6 +10,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,39 @@ class IvfIndex:
         condition = as_condition(where, df.schema)
         return search.topk(df.where(F.col(cell).isin(self.probes(query, nprobe))), field, query, k, self.metric, key, condition)
 
+    def join_topk(self, queries: DataFrame, df: DataFrame, field: str, k: int, nprobe: int = 0, key: str = "id", query_key: str = "id", cell: str = "_cell") -> DataFrame:
+        """(qid, rank, key, distance, score): top k within the nearest cells of each of queries(query_key, field)."""
+        rows = df.where(F.col(field).isNotNull()).select(F.col(key).alias("key"), F.col(field).alias("vector"), F.col(cell).alias("cell"))
+        queries = queries.where(F.col(field).isNotNull()).select(F.col(query_key).alias("q"), F.col(field).alias("v"))
+        n, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+        blocks = max(1, -(-n * (width or 1) // search.QUERY_VALUES))
+        kinds = f"qid {queries.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, distance double"
+        parts = [df.sparkSession.createDataFrame([], kinds)]
+        for i in range(blocks):  # read, and broadcast, a block of bounded size at a time
+            own = queries.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).orderBy("q").collect()
+            if not own:
+                continue
+            probed = np.zeros((len(own), len(self.centroids)), bool)
+            for at, r in enumerate(own):
+                probed[at, self.probes(r.v, nprobe)] = True
+            shared = df.sparkSession.sparkContext.broadcast(([r.q for r in own], np.array([r.v for r in own], np.float64), probed, self.metric))
+
+            def run(batches, shared=shared):
+                names, q, probed, metric = shared.value
+                for b in batches:
+                    if not len(b):
+                        continue
+                    keys, cells = b["key"].to_numpy(), b["cell"].to_numpy()
+                    d = V.block_distances(metric, q, np.stack(b["vector"].to_numpy()).astype(np.float64))
+                    out = []
+                    for at, name in enumerate(names):
+                        inside = np.flatnonzero(probed[at, cells])
+                        out += [(name, keys[j], float(d[at, j])) for j in inside[np.lexsort((keys[inside], d[at, inside]))][:k].tolist()]
+                    yield pd.DataFrame(out, columns=["qid", "key", "distance"])
+
+            parts.append(rows.mapInPandas(run, kinds))
+        return search._merge(parts, k, key)
+
     def write(self, df: DataFrame, field: str, path: str) -> None:
         """Rows by cell, and the centroids beside them."""
         self.assign(df, field).write.mode("overwrite").partitionBy("_cell").parquet(f"{path}/cells")

@@ -200,13 +200,17 @@ def ivf_topk_all(spark, sf_dir):
     return found.select("vec_id", r6("distance").alias("distance"), r6("score").alias("score"))
 
 
+#: Cells probed of 16, for a mean recall of 0.9 or more.
+NPROBE = 12
+
+
 @query()
-def ivf_topk(spark, sf_dir):
-    """The default number of cells; tests hold its recall against the exact result."""
+def ivf_topk(spark, sf_dir, nprobe=NPROBE):
+    """The 10 nearest of each vector whose id is divisible by 20; nprobe=0 is the reference's rule.  Tests hold the mean recall."""
     rows = read(spark, sf_dir, "embeddings")
     index = IvfIndex.train(rows, "embedding", 16, 10, Metric.COSINE)
-    found = index.topk(index.assign(rows, "embedding"), "embedding", first_vector(spark, sf_dir), 10, key="vec_id")
-    return found.select("vec_id", r6("distance").alias("distance"))
+    found = index.join_topk(rows.where("vec_id % 20 = 0"), index.assign(rows, "embedding"), "embedding", 10, nprobe, key="vec_id", query_key="vec_id")
+    return found.select(F.col("qid").alias("query_id"), F.col("rank").cast("bigint").alias("rank"), "vec_id", r6("distance").alias("distance"))
 
 
 @query(
