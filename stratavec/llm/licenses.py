@@ -63,6 +63,8 @@ RULES = [
 ]
 #: Every known sentence has one of these; a text without any is not cut up.
 STEMS = ["licen", "permission", "redistribut", "copyright", "warranty", "public domain"]
+#: Also looked for in raw text, where "public domain" may be wrapped over lines or have two blanks.
+ONE_WORD = "unencumbered"
 #: Sentence ends, with and without line ends.
 LINES, FLOW = r"[.!?:]([ \t\n\r\f]+|$)|\n+", r"[.!?:]([ \t\n\r\f]+|$)|\n[ \t\r]*\n"
 
@@ -82,8 +84,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids, n_sentences (known ones), licenses, license_classes (joined by `,`) for each row."""
     text = F.coalesce("text", F.lit(""))
     folded = F.lower(text)
-    worth = folded.contains(STEMS[0])
-    for stem in STEMS[1:]:
+    worth = folded.contains(ONE_WORD)
+    for stem in STEMS:
         worth |= folded.contains(stem)
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(worth, text).otherwise("").alias("text"))
     found = found.select("doc_id", identifiers(F.col("text"), LINES).alias("by_line"), identifiers(F.col("text"), FLOW).alias("by_flow"))

@@ -298,6 +298,12 @@ def test_licences(spark):
     assert all(any(stem in s for stem in licenses.STEMS) for s in licenses.by_sentence())
 
 
+def test_wrapped_public_domain(spark):
+    said = "This is free and unencumbered software released into the public{}domain."
+    got = [r.licenses for r in licenses.scan(docs_of(spark, [(i, said.format(x)) for i, x in enumerate((" ", "\n", "  "))])).collect()]
+    assert got == ["Unlicense"] * 3
+
+
 def test_classifiers_held_out(spark):
     """On rows that weren't learned from."""
     sf = "/root/testdata/sf0.01"
