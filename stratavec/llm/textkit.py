@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of text that a task works on at a time, unless a single text is longer.
+SLICE = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces of at most `most` bytes of `column` (or one row), so that what a task derives from texts is bounded by bytes, not rows."""
+    most = most or SLICE
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; calling the hash is cheaper than remembering so many words."""
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))

@@ -118,6 +118,15 @@ def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], value: str)
 FILTER_BITS = 1 << 26
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like those wanted that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    tail = "_"
+    while any(f"{w}{tail}".lower() in taken for w in wanted):
+        tail += "_"
+    return [w + tail for w in wanted]
+
+
 class Members:
     """A filter of fixed size for a set of bigint ids: says no only for ids outside the set.
 
@@ -129,12 +138,13 @@ class Members:
 
     def __init__(self, ids: DataFrame):
         place = F.xxhash64(F.col(ids.columns[0])).bitwiseAND(FILTER_BITS - 1)
-        bit = F.expr("shiftleft(1L, cast(_p & 63 as int))")
-        self.table = ids.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_w")).agg(F.bit_or(bit).alias("_bits"))
+        bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+        self.table = ids.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
     def pick(self, rows: DataFrame, key: str, inside: bool = True) -> DataFrame:
         """Rows whose key may be in the set, or (inside=False) those whose key isn't."""
-        place = F.xxhash64(F.col(key).cast("bigint")).bitwiseAND(FILTER_BITS - 1)
-        rows = rows.withColumn("_p", place)
-        hit = (F.shiftright("_p", 6) == F.col("_w")) & (F.expr("shiftright(_bits, cast(_p & 63 as int)) & 1") == 1)
-        return rows.join(F.broadcast(self.table), hit, "left_semi" if inside else "left_anti").drop("_p")
+        word, bits = free_names(rows, "word", "bits")
+        place = F.xxhash64(rows[key].cast("bigint")).bitwiseAND(FILTER_BITS - 1)
+        there = F.call_function("shiftright", F.col(bits), place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+        table = self.table.select(F.col("word").alias(word), F.col("bits").alias(bits))
+        return rows.join(F.broadcast(table), (F.shiftright(place, 6) == F.col(word)) & there, "left_semi" if inside else "left_anti")

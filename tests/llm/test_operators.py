@@ -106,16 +106,17 @@ def test_line_dedup_like_brute_force(spark, sf_dir):
     rows = documents(sf_dir)[:120]
     long = [f"word{i}" for i in range(70)]
     rows += [(5000 + i, "\n".join(["Short.", " ".join([*long[:i], f"other{i}", *long[i + 1 :]]), f"A line of its own, number {'abcdefgh'[i]}: {i}", " ".join(long).upper() + "!!"])) for i in range(8)]
-    sim = lambda x: int(linededup.simhashes(textkit.word_hashes(x.encode().split(b" ")), [len(x.split(" "))])[0])
-    gone = brute.removed_lines(rows, linededup.normalise, sim, linededup.MIN_WORDS, linededup.DISTANCE, linededup.SIMILARITY)
+    sim = lambda x: int.from_bytes(linededup.line_keys([x.encode()])[0].tobytes(), "little")
+    gone = brute.removed_lines(rows, linededup.normalise, sim, 1, linededup.DISTANCE, linededup.SIMILARITY)
     assert any(d >= 5000 for d in gone)
     expected = {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get(d, [])) for d, t in rows}
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, rows)).collect()} == expected
-    was, linededup.FAMILY_LINES = linededup.FAMILY_LINES, 3  # families in parts
+    was = linededup.FAMILY_LINES, linededup.LIST
+    linededup.FAMILY_LINES, linededup.LIST = 3, 4  # families and lists in parts
     try:
         assert {r.doc_id: r.text for r in linededup.dedup_lines(docs_of(spark, rows)).collect()} == expected
     finally:
-        linededup.FAMILY_LINES = was
+        linededup.FAMILY_LINES, linededup.LIST = was
 
 
 def test_short_lines_and_scripts_without_blanks_are_deduplicated(spark):
@@ -358,17 +359,66 @@ def test_members_lets_all_of_the_set_through(spark):
     assert inside | outside == set(range(3000)) and not inside & outside
 
 
-def test_ties_across_batches():
+def test_forest_joins_what_is_near():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**63, 40).astype(np.uint64)
-    sims = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.integers(0, 60, 12)] + [base]))
-    pairs = {(i, j) for i in range(len(sims)) for j in range(i) if int(sims[i] ^ sims[j]).bit_count() <= linededup.DISTANCE}
+    base = rng.integers(0, 2**63, (40, 2)).astype(np.uint64)
+    near = np.repeat(base[:3], 8, axis=0) ^ (np.uint64(1) << rng.integers(0, 60, (24, 2)).astype(np.uint64))
+    sims = np.concatenate([base, near])
+    pairs = {(i, j) for i in range(len(sims)) for j in range(i) if sum(int(x).bit_count() for x in sims[i] ^ sims[j]) <= linededup.DISTANCE}
     label = brute.components(len(sims), pairs)
     ties = linededup.forest(sims)
     assert len(ties) == len(sims) - len(set(label))
     again = brute.components(len(sims), ties)
     assert len(set(zip(label, again, strict=True))) == len(set(label))
-    assert pa.__version__
+
+
+@pytest.mark.parametrize("most", [None, 5, 1000])
+def test_lists_over_batches(most):
+    """Every row of a list is tied within it or passed on, wherever batches end."""
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.choice([3, 4, 5, 6, 9], 200, p=[0.02, 0.02, 0.6, 0.06, 0.3]))
+    rows = [key, np.arange(200), np.zeros(200, np.int64), np.zeros(200, np.int64)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 7]) for x in rows], ["key", "hi", "s", "t"]) for i in range(0, 200, 7)]
+
+    class Rows:  # stands for a DataFrame
+        select = lambda self, *_: self
+        mapInArrow = lambda self, run, _: [r for b in run(iter(batches)) for r in b.to_pylist()]
+
+    out = linededup.tie(Rows(), most)
+    passed = {(r["key"], r["a"]) for r in out if r["b"] is None}
+    tied = [(r["a"], r["b"]) for r in out if r["b"] is not None]
+    for k in np.unique(key).tolist():
+        own = np.flatnonzero(key == k).tolist()
+        if most and len(own) > most:
+            assert {a for x, a in passed if x == k} == set(own)
+        else:
+            assert sum(a in own for a, _ in tied) == len(own) - 1 and not any(x == k for x, _ in passed)
+
+
+@pytest.mark.parametrize("size", [1, 7, 300, 70_000])
+def test_halves_are_those_of_words(size):
+    """A word's hashes don't depend on its place, in texts of any length."""
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 9))).encode() for _ in range(size)] + [b"x" * 200_000] * (size == 300)
+    a, z, n = linededup.halves(b" ".join(words))
+    assert n.tolist() == [len(w) for w in words]
+    seen = {}
+    for w, x, y in zip(words, a.tolist(), z.tolist(), strict=True):
+        half = (len(w) + 1) // 2
+        assert seen.setdefault((0, w[:half]), x) == x and seen.setdefault((1, w[-half:]), y) == y
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_lowest_shingles():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 12, 50)
+    h = rng.integers(0, 40, sizes.sum()).astype(np.uint64)
+    own, keys = linededup.lowest(h, sizes, 4, 9)
+    at = 0
+    for i, n in enumerate(sizes.tolist()):
+        expected = np.unique(textkit.ngrams(h[at : at + n], min(4, n)))[: linededup.LOWEST[n >= 9]]
+        assert sorted(keys[own == i].tolist()) == expected.tolist()
+        at += n
 
 
 def test_pipeline(spark, sf_dir):
