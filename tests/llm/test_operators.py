@@ -374,7 +374,7 @@ def test_forest_joins_what_is_near():
 
 @pytest.mark.parametrize("most", [None, 5, 1000])
 def test_lists_over_batches(most):
-    """Every row of a list is tied within it or passed on, wherever batches end."""
+    """Every row of a list is in its set or passed on, wherever batches end."""
     rng = np.random.default_rng(1)
     key = np.sort(rng.choice([3, 4, 5, 6, 9], 200, p=[0.02, 0.02, 0.6, 0.06, 0.3]))
     rows = [key, np.arange(200), np.zeros(200, np.int64), np.zeros(200, np.int64)]
@@ -384,15 +384,60 @@ def test_lists_over_batches(most):
         select = lambda self, *_: self
         mapInArrow = lambda self, run, _: [r for b in run(iter(batches)) for r in b.to_pylist()]
 
-    out = linededup.tie(Rows(), most)
-    passed = {(r["key"], r["a"]) for r in out if r["b"] is None}
-    tied = [(r["a"], r["b"]) for r in out if r["b"] is not None]
-    for k in np.unique(key).tolist():
-        own = np.flatnonzero(key == k).tolist()
-        if most and len(own) > most:
-            assert {a for x, a in passed if x == k} == set(own)
-        else:
-            assert sum(a in own for a, _ in tied) == len(own) - 1 and not any(x == k for x, _ in passed)
+    out = linededup.cluster(Rows(), most)
+    passed = {(r["key"], r["hi"]) for r in out if r["s"] is not None}
+    sets = {}
+    for r in out:
+        if r["s"] is None:
+            sets.setdefault(r["key"], set()).add(r["hi"])
+    lists = [set(np.flatnonzero(key == k).tolist()) for k in np.unique(key).tolist()]
+    assert sorted(map(sorted, sets.values())) == sorted(sorted(x) for x in lists if 1 < len(x) <= (most or 1000))
+    assert {h for _, h in passed} == {h for x in lists if len(x) > (most or 1000) for h in x}
+
+
+@given(st.lists(st.none() | st.text(" ab\n\t.é1", max_size=30), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_lines_are_normalised_together_as_alone(texts):
+    expected = [(i, k, n) for i, t in enumerate(texts) for k, line in enumerate((t or "").split("\n")) if (n := linededup.normalise(line))]
+    text, number, body, start, end = linededup.normal_lines(texts)
+    assert [(i, k, body[a:z].decode()) for i, k, a, z in zip(text.tolist(), number.tolist(), start.tolist(), end.tolist(), strict=True)] == expected
+
+
+@given(st.lists(st.sampled_from("a bb abc abd é".split()), max_size=12), st.lists(st.sampled_from("a bb abc abd é".split()), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_aligned_words_are_an_upper_bound(x, y):
+    assert linededup.aligned(x, y) + 1 >= brute.edit_distance(" ".join(x), " ".join(y)) and (x != y or linededup.aligned(x, y) == 0)
+    if x and y:
+        assert linededup.aligned(x, y) >= brute.edit_distance(" ".join(x), " ".join(y))
+
+
+@given(st.lists(st.tuples(st.text("abé", max_size=25), st.text("abé", max_size=25), st.integers(0, 8)), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_distances_computed_together(pairs):
+    assert linededup.close(pairs) == [brute.edit_distance(a, b) <= most for a, b, most in pairs]
+
+
+def test_distances_of_longer_lines_computed_together():
+    rng = np.random.default_rng(12)
+    pairs = []
+    for n in [*range(1, 80), *range(280, 700, 7), *range(1200, 1400, 50)]:
+        a = "".join(rng.choice(list("abcdé" if n % 2 else "ab\u4e00"), n))
+        for share in (0.03, 0.09, 0.15, 0.5):
+            b = list(a)
+            for _ in range(int(share * n) + 1):
+                at = int(rng.integers(len(b) + 1))
+                b[at : at + int(rng.integers(2))] = rng.choice(list("abx"), int(rng.integers(2))).tolist()
+            pairs += [(a, "".join(b), n // 10), ("".join(b), a, max(n, len(b)) // 10)]
+    expected = [linededup.edits(a, b, most) <= most for a, b, most in pairs]
+    assert 200 < sum(expected) < len(pairs) - 200
+    assert linededup.close(pairs) == expected
+
+
+@given(st.lists(st.text("ab ", max_size=25), min_size=2, max_size=2))
+@settings(max_examples=300, deadline=None)
+def test_profiles_bound_edits(lines):
+    g = linededup.profiles(lines)
+    assert np.abs(g[0] - g[1]).sum() <= 6 * brute.edit_distance(*lines)
 
 
 @pytest.mark.parametrize("size", [1, 7, 300, 70_000])
