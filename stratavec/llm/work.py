@@ -36,9 +36,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, random: bool = False) -> DataFrame:
+        """df written and to be read again; random: its numbers are hashes, so that dictionaries of them cost time and save nothing."""
         at = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(at)
+        df.write.mode("overwrite").option("parquet.enable.dictionary", str(not random).lower()).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
