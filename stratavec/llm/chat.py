@@ -39,7 +39,9 @@ ESCAPED = re.compile(r"\\(\\|### |</turn>|<\|)")
 PLAIN_ROLE = re.compile("[a-z]+")
 #: Tokens that an attachment takes: a base and a rate by its size (image tiles, audio seconds, document pages).
 EXPANDED = {"image": (85, 170), "audio": (8, 25), "document": (16, 600)}
-SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+#: The role whose content is under the loss mask.
+LEARNED = "assistant"
+SCHEMA = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_attachments bigint, expanded_tokens bigint"
 
 
 def escape(text: str) -> str:
@@ -91,9 +93,12 @@ def read_role(written: str) -> str:
     return unquote(written[1:]) if written.startswith("=") else written.lower()
 
 
-def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, Flattened]:
+def format_turn(role: str | None, parts: list[dict] | None) -> tuple[str, Flattened, list[tuple[int, int]]]:
+    """(formatted turn, what its parts gave, spans of its loss mask: an assistant's content)."""
     flat = PartVisitor().flatten(parts)
-    return f"{OPEN}{write_role(role)}: {''.join(flat.pieces)}{CLOSE}\n", flat
+    begin = f"{OPEN}{write_role(role)}: "
+    body = "".join(flat.pieces)
+    return f"{begin}{body}{CLOSE}\n", flat, [(len(begin), len(begin) + len(body))] if role == LEARNED else []
 
 
 def read_turn(formatted: str) -> tuple[str, str]:
@@ -113,10 +118,8 @@ def format_conversation(turns: list[tuple[str | None, list[dict] | None]]) -> di
     text, spans, attachments, tokens = [], [], [], 0
     at = 0
     for role, parts in turns:
-        formatted, flat = format_turn(role, parts)
-        if role == "assistant":
-            start = at + formatted.index(": ") + 2
-            spans.append((start, at + len(formatted) - len(CLOSE) - 1))
+        formatted, flat, own = format_turn(role, parts)
+        spans += [(at + a, at + z) for a, z in own]
         text.append(formatted)
         attachments += flat.attachments
         tokens += flat.expanded_tokens
@@ -125,23 +128,26 @@ def format_conversation(turns: list[tuple[str | None, list[dict] | None]]) -> di
 
 
 class Digest:
-    """Reads formatted turns back, one after another."""
+    """Reads formatted turns back, one after another: turns from the text, what is learned from the spans of the loss mask alone."""
 
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.loss, self.n, self.loss_chars, self.chars = conv_id, hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.attachments = self.expanded = 0
 
-    def add(self, formatted: str) -> None:
+    def add(self, formatted: str, flat: Flattened, spans: list[tuple[int, int]]) -> None:
         role, content = read_turn(formatted)
-        text = unescape(content)
-        self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        if role == "assistant":
+        self.turns.update(f"{role}\n{unescape(content)}\n".encode("utf-8", "surrogatepass"))
+        for a, z in spans:
+            text = unescape(formatted[a:z])
             self.loss.update(text.encode("utf-8", "surrogatepass"))
             self.loss_chars += len(text)
         self.n += 1
         self.chars += len(formatted)
+        self.attachments += len(flat.attachments)
+        self.expanded += flat.expanded_tokens
 
     def row(self) -> tuple:
-        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.attachments, self.expanded
 
 
 def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +155,8 @@ def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def made(rows):
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(6)], names)
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
 
     for b in batches:
         done = []
@@ -159,7 +165,7 @@ def format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if now is not None:
                     done.append(now.row())
                 now = Digest(conv_id)
-            now.add(format_turn(role, [{"type": "text", "text": text}])[0])
+            now.add(*format_turn(role, [{"type": "text", "text": text}]))
         if done:
             yield made(done)
     if now is not None:

@@ -21,6 +21,7 @@ repeated results; empty tables give an empty result; `remove_leaks` keeps all co
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -39,6 +40,8 @@ THRESHOLD = 0.6
 BLOCK = 2
 #: Runs of blocks whose bounds are summed for every passage.
 GROUPS = 128
+#: Terms whose bounds are summed at a time.
+TERMS = 8192
 WIDTH = 5
 #: Shares of shingles: of the item, of its question and of its answer.
 WHOLE, PART = 0.8, 0.5
@@ -167,8 +170,12 @@ def finder(index: Index, threshold: float = THRESHOLD):
         key = np.unique(passage[passage >= 0] * (none + 1) + np.concatenate([ids[at], ids[at]])[passage >= 0])
         p, t = key // (none + 1), key % (none + 1)
         starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        reach = np.add.reduceat(index.groups[t], starts, axis=0).max(1)
         ends = np.append(starts[1:], len(p))
+        reach, at = np.empty(len(starts), np.float32), 0
+        while at < len(starts):  # some passages at a time: a whole text's terms may be many
+            stop = max(at + 1, int(np.searchsorted(ends, starts[at] + TERMS, "right")))
+            reach[at:stop] = np.add.reduceat(index.groups[t[starts[at] : ends[stop - 1]]], starts[at:stop] - starts[at], axis=0).max(1)
+            at = stop
         return [(int(p[a]) * segment, t[a:z].tolist()) for a, z, r in zip(starts.tolist(), ends.tolist(), reach.tolist(), strict=True) if r >= threshold - 1e-4]
 
 
@@ -215,7 +222,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             find = finder(index, threshold)
-            for b in batches:
+            for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
                 rows = [(i, index.ids[item], *x) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for item, *x in find(t)]
                 if rows:
                     cols = list(zip(*rows, strict=True))
@@ -233,7 +240,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = finder(Index(shared.value), threshold)
-            for b in batches:
+            for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
                 yield b.filter(pa.array([not find(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

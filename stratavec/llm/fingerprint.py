@@ -60,8 +60,8 @@ def containment(a: str, b: str, equal: Column) -> Column:
     return F.when(equal, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text) with its bucket, and (bucket, first, before): the bucket's least id and the bucket before it.
+def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """docs(doc_id, text) with its bucket, (bucket, first, before): the bucket's least id and the bucket before it, and how many tasks the buckets are dealt to.
 
     There are at most (CELLS + 1) * PARTS buckets, so the second table is small whatever the input.
     """
@@ -70,27 +70,29 @@ def bucketed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     bounds = sorted(set(bounds or [0]))
     parts = max(1, min(PARTS, n // (ROWS * len(bounds)) + 1))
     low = F.array(*[F.lit(int(x)) for x in bounds])
-    high = F.array(*[F.lit(int(x)) for x in [*bounds[1:], bounds[-1] + 1]])
+    place = F.array(*[F.lit(float(x)) for x in [*bounds, bounds[-1] + 1]])  # as doubles, whose differences don't overflow; their order is that of ids
     cell = F.greatest(F.size(F.filter(low, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
     docs = docs.withColumn("cell", cell)
-    span = (F.col("doc_id") - F.get(low, F.col("cell"))).cast("double") / (F.get(high, F.col("cell")) - F.get(low, F.col("cell"))).cast("double")
+    wide = F.greatest(F.get(place, F.col("cell") + 1) - F.get(place, F.col("cell")), F.lit(1.0))
+    span = (F.col("doc_id").cast("double") - F.get(place, F.col("cell"))) / wide
     part = F.least(F.greatest(F.floor(span * parts), F.lit(0)), F.lit(parts - 1))
     docs = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("cell") * parts + part).cast("bigint")).drop("cell")
     firsts = [tuple(r) for r in docs.groupBy("bucket").agg(F.min("doc_id")).collect()]
     firsts.sort()
     before = [firsts[i - 1][0] for i in range(len(firsts))]  # the first bucket comes after the last
-    return docs, spark.createDataFrame([(b, f, p) for (b, f), p in zip(firsts, before, strict=True)], "bucket bigint, first bigint, before bigint")
+    tasks = max(1, min(len(firsts), n // (2 * ROWS)))  # in proportion to the rows, so that a task's share doesn't grow
+    return docs, spark.createDataFrame([(b, f, p) for (b, f), p in zip(firsts, before, strict=True)], "bucket bigint, first bigint, before bigint"), tasks
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """(doc_id, text, sketch, next_text, next_sketch) for each row of docs."""
-    rows, firsts = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    rows, firsts, tasks = bucketed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     ring = firsts.agg(F.min("bucket")).first()[0] if firsts.count() else 0
     rows = rows.join(F.broadcast(firsts), "bucket")
     own = F.struct(F.col("bucket"), F.lit(0).alias("turn"), F.lit(False).alias("guest"))
     guest = F.struct(F.col("before").alias("bucket"), F.when(F.col("bucket") == ring, 1).otherwise(0).alias("turn"), F.lit(True).alias("guest"))
     rows = rows.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, guest)).otherwise(F.array(own))).alias("to"))
-    rows = rows.select("to.*", "doc_id", "text").repartition("bucket")
+    rows = rows.select("to.*", "doc_id", "text").repartition(tasks, "bucket")
     rows = with_sketch(rows, "text", "sketch")
     order = W.partitionBy("bucket").orderBy("turn", F.col("doc_id").asc_nulls_first(), "text", "guest")
     rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_sketch", F.lead("sketch").over(order))

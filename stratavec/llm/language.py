@@ -12,19 +12,22 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import textkit
 from .work import held_out
 
 DIMENSIONS = 1024
-#: Training texts of each language, those with the smallest hash of doc_id.
+#: Training texts of each language, on average: those whose hash of doc_id is below a bound for the language.
 SAMPLE_ROWS = 500
+#: Languages learned, those with most documents.
+LANGUAGES = 1000
 #: Trigram vectors are dropped from a task's cache beyond this many (128 MB).
 CACHE = 1 << 15
 UNKNOWN = "und"
@@ -91,7 +94,7 @@ class Encoder:
 
 def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encode, sums = Encoder(), {}
-    for b in batches:
+    for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
             if (v := encode.vector(text)) is not None:
                 sums[lang] = sums.get(lang, 0) + v.astype(np.float64)
@@ -100,11 +103,16 @@ def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes) from at most `sample_rows` texts a language outside the held-out fold."""
-    few = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    few = few.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= sample_rows)
-    few = docs.sparkSession.createDataFrame([r.doc_id for r in few.select("doc_id").collect()], "bigint").toDF("doc_id").distinct()
-    learned = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").select("text", "lang")
+    """(languages, prototypes) from about `sample_rows` texts a language, all of a language with fewer, outside the held-out fold.
+
+    Counts of languages say how low a document's hash must be, so the sample
+    needs no order and depends neither on partitioning nor on other languages.
+    """
+    few = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    sizes = few.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    bounds = docs.sparkSession.createDataFrame([(r.lang, min(1.0, sample_rows / r.n)) for r in sizes], "lang string, bound double")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / float(1 << 31)
+    learned = few.join(F.broadcast(bounds), "lang").where(place < F.col("bound")).select("text", "lang")
     sums: dict[str, np.ndarray] = {}
     for r in sorted(learned.mapInArrow(bundle, "lang string, v binary").collect()):
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(bytes(r.v))
@@ -123,7 +131,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def run(batches):
         langs, prototypes = shared.value
         encode = Encoder()
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
             pred, score = [], []
             for text in b.column("text").to_pylist():
                 v = encode.vector(text) if langs else None

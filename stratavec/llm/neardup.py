@@ -21,13 +21,15 @@
 
 Cases: null and empty texts have no shingles and are linked with nothing; a row
 with a null doc_id is counted but linked with nothing and kept; repeated rows
-are in one class; an empty table gives an empty result; `keep_one` keeps all
+are in one class; rows of one doc_id with unlike texts are each judged by their
+own; an empty table gives an empty result; `keep_one` keeps all
 columns.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .work import Members, Scratch, components, spread_join
+from .work import Members, Scratch, components, free_names, spread_join
 
 #: Shingles of a family that one task compares (64 MB of hashes).
 FAMILY = 8_000_000
 #: Shingles of a block of queries in step 5.
 BLOCK = 2_000_000
-DESCRIBED = "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>"
+DESCRIBED = "doc_id bigint, mark bigint, n_shingles bigint, hi bigint, lo bigint, keys array<bigint>"
 
 
 def runs_of(num: int, den: int) -> tuple[int, int]:
@@ -50,6 +52,11 @@ def runs_of(num: int, den: int) -> tuple[int, int]:
     return (3, 32) if 100 * num >= 85 * den else (2, 24) if 100 * num >= 80 * den else (2, 32) if 100 * num >= 70 * den else (1, 32)
 
 
+def text_mark() -> F.Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def set_name(shingles: np.ndarray) -> tuple[int, int]:
     d = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -69,7 +76,7 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Step 1, for docs(doc_id, text)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
             n, hi, lo, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 s = textkit.shingle_set(textkit.word_hashes(textkit.words_of(t)), width)
@@ -80,9 +87,9 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 keys.append(list_keys(s, num, den))
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             flat = np.concatenate([*keys, np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "n_shingles", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["doc_id", "mark", "n_shingles", "hi", "lo", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, DESCRIBED)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_mark().alias("mark"), "text").mapInArrow(rows, DESCRIBED)
 
 
 class Components:
@@ -240,8 +247,13 @@ def link_large(rows: DataFrame, width: int, num: int, den: int, scratch: Scratch
     return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *args, **kw) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text, ...)."""
+    return grouped(docs, *args, **kw).drop("mark")
+
+
+def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, family: int = FAMILY, block: int = BLOCK) -> DataFrame:
+    """near_duplicates with text_mark as `mark`."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -275,11 +287,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     out = spread_join(described.drop("keys"), named, ["hi", "lo"], "component_id")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), group)
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of docs, all columns, that are kept: one of each group, and one of repeated rows."""
-    kept = near_duplicates(docs, **kw).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(kept, docs.doc_id.cast("bigint") == kept.kept_id).drop("kept_id").dropDuplicates(["doc_id"])
+    """The rows of docs, all columns, that are kept: one of each group, and one of repeated rows; rows of one doc_id with unlike texts are rows of their own."""
+    own, mark, text = free_names(docs, "id", "mark", "text")
+    kept = grouped(docs, **kw).where("kept and doc_id is not null").select(F.col("doc_id").alias(own), F.col("mark").alias(mark)).distinct()
+    rows = docs.where("doc_id is not null").withColumn(text, text_mark())
+    one = rows.join(kept, (rows["doc_id"].cast("bigint") == kept[own]) & (rows[text] == kept[mark])).drop(own, mark).dropDuplicates(["doc_id", text]).drop(text)
     return one.unionByName(docs.where("doc_id is null"))

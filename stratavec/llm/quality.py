@@ -15,6 +15,7 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
 from .work import held_out, labelled_rows
 
 #: Bounds: labelled rows, dimensions of the space, hashed word terms.
@@ -83,8 +85,9 @@ def counts(text: str | None, cache: WordTerms) -> tuple[np.ndarray, np.ndarray]:
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordTerms()
     for b in batches:
-        x = [counts(t, cache) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i, _ in x], pa.binary()), pa.array([v.tobytes() for _, v in x], pa.binary()), b.column("y")], ["i", "v", "y"])
+        for part in textkit.slices(b):
+            x = [counts(t, cache) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([i.tobytes() for i, _ in x], pa.binary()), pa.array([v.tobytes() for _, v in x], pa.binary()), part.column("y")], ["i", "v", "y"])
 
 
 def weighted(rows: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
@@ -105,7 +108,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple:
     """(idf, projection, labelled vectors, labels) from at most `sample_rows` labelled documents outside the held-out fold."""
-    rows = labelled_rows(docs, labels, label, sample_rows).mapInArrow(featurise, "i binary, v binary, y int").collect()
+    rows = labelled_rows(docs, labels, label, sample_rows)[0].mapInArrow(featurise, "i binary, v binary, y int").collect()
     rows = sorted((bytes(r.i), bytes(r.v), int(r.y > 0)) for r in rows)
     if not rows:
         return np.ones(WORD_TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((1, 1), np.float32), np.array([0.5], np.float32)
@@ -140,7 +143,7 @@ def score(docs: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         idf, projection, known, y = shared.value
         cache = WordTerms()
-        for b in batches:
+        for b in itertools.chain.from_iterable(map(textkit.slices, batches)):
             texts, p = b.column("text").to_pylist(), []
             for at in range(0, len(texts), BLOCK):
                 rows = [counts(t, cache) for t in texts[at : at + BLOCK]]

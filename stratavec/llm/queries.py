@@ -70,7 +70,7 @@ e as (select *, regexp_replace(text, '(\\|### |</turn>|<\|)', '\\\1', 'g') as es
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(length(escaped) + length(role) + 14)::bigint as formatted_chars
+  sum(length(escaped) + length(role) + 14)::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as expanded_tokens
 from e group by conv_id"""
 
 QUERIES = {

@@ -7,8 +7,8 @@ over whole texts, without a shuffle.
 
 Cases: null and empty texts have no features and get the score of the bias;
 repeated rows are scored each; an empty table gives an empty result; without
-LEAST_ROWS labelled rows of each kind every score is 0 and nothing is rejected; further columns of the
-input are kept by `reject` and ignored by `score`.
+labelled rows every score is that of the prior (PRIOR) and nothing is rejected;
+further columns of the input are kept by `reject` and ignored by `score`.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ EPOCHS = 8
 ALPHA, BETA, L1, L2 = 4.0, 1.0, 3.0, 0.0
 #: A feature is learned only if so many documents of the sample have it.
 SEEN = 3
-#: Labelled rows of each kind without which nothing is learned.
-LEAST_ROWS = 5
+#: Rows of (toxic, other) that are added to the labelled ones' counts when the bias is set.
+PRIOR = (0.5, 4.5)
 THRESHOLD = 0.5
 
 
@@ -45,20 +45,23 @@ def features(h: np.ndarray) -> np.ndarray:
 
 def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = [np.unique(features(textkit.word_hashes(textkit.plain_words(t)))).astype(np.int32).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), b.column("y")], ["x", "y"])
+        for part in textkit.slices(b):
+            x = [np.unique(features(textkit.word_hashes(textkit.plain_words(t)))).astype(np.int32).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), part.column("y")], ["x", "y"])
 
 
-def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """(feature numbers, weights, bias) after EPOCHS passes in a fixed order."""
+def train(rows: list[tuple[bytes, int]], known: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, float]:
+    """(feature numbers, weights, bias) after EPOCHS passes in a fixed order.
+
+    The sample may hold a larger share of toxic rows than there are labelled
+    ones; `known`, the counts of labelled (toxic, other) rows, sets the bias right.
+    """
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     seen = np.zeros(size, np.int32)
     for x, _ in rows:
         seen[np.frombuffer(x, np.int32)] += 1
     data = sorted((x, int(y > 0)) for x, y in rows)
-    if min(sum(y == k for _, y in data) for k in (0, 1)) < LEAST_ROWS:
-        return np.empty(0, np.int32), np.empty(0, np.float32), -30.0
     order = np.random.default_rng(7)
 
     def weights(at):
@@ -79,13 +82,16 @@ def train(rows: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray, float]
             n[at] += g * g
     w = weights(np.arange(size + 1))
     ids = np.flatnonzero(w[:size])
-    return ids.astype(np.int32), w[ids].astype(np.float32), float(w[size])
+    toxic = sum(y for _, y in data)
+    prior = np.log((known[0] + PRIOR[0]) / (known[1] + PRIOR[1])) - np.log((toxic + 0.5) / (len(data) - toxic + 0.5))
+    return ids.astype(np.int32), w[ids].astype(np.float32), float(w[size] + prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple:
     """Learns from at most `sample_rows` labelled documents outside the held-out fold."""
-    rows = labelled_rows(docs, labels, label, sample_rows).mapInArrow(featurise, "x binary, y int").collect()
-    return train([(bytes(r.x), r.y) for r in rows])
+    own, known = labelled_rows(docs, labels, label, sample_rows)
+    rows = own.mapInArrow(featurise, "x binary, y int").collect()
+    return train([(bytes(r.x), r.y) for r in rows], known)
 
 
 def scorer(model):
@@ -112,8 +118,9 @@ def score(docs: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         of = scorer(shared)
         for b in batches:
-            p = of(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            for part in textkit.slices(b):
+                p = of(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
 
@@ -125,6 +132,7 @@ def reject(docs: DataFrame, model: tuple, threshold: float = THRESHOLD) -> DataF
     def run(batches):
         of = scorer(shared)
         for b in batches:
-            yield b.filter(pa.array(of(b.column("text").to_pylist()) < threshold))
+            for part in textkit.slices(b):
+                yield part.filter(pa.array(of(part.column("text").to_pylist()) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from stratavec.llm import chat, decontam, fingerprint, language, licenses, lined
 from stratavec.llm.queries import ORACLES, QUERIES
 from stratavec.llm.work import Members, Scratch, components, held_out, spread_join
 
-EDGES = [(1, None), (2, ""), (3, "word"), (4, "two words"), (4, "two words"), (5, "Ünïcode — text\nwith lines\n\n!!!"), (None, "no id at all here"), (6, "long " * 50_000)]
+EDGES = [(2**63 - 1, "the last id of all"), (-(2**63), "the first id of all"), (1, None), (2, ""), (3, "word"), (4, "two words"), (4, "two words"), (5, "Ünïcode — text\nwith lines\n\n!!!"), (None, "no id at all here"), (6, "long " * 50_000)]
 SHAPE = "doc_id bigint, text string"
 OPERATORS = {
     "quality": lambda d, lab: quality.score(d, quality.fit(d, lab)),
@@ -31,11 +31,12 @@ OPERATORS = {
     "packing": lambda d, lab: packing.pack_documents(d),
     "linededup": lambda d, lab: linededup.dedup_lines(d),
     "licenses": lambda d, lab: licenses.scan(d),
+    "leaks": lambda d, lab: decontam.remove_leaks(d, d.sparkSession.createDataFrame([(1, "an item of some words that is in no text"), (None, None), (2, "")], "item_id bigint, text string")),
 }
 
 
 def docs_of(spark, rows, **more):
-    return spark.createDataFrame(rows, SHAPE).withColumns({"lang": F.lit(None).cast("string"), "score": F.lit("x"), "held_out": F.lit(1), "kept": F.lit(2), "members": F.lit(3)} | more)
+    return spark.createDataFrame(rows, SHAPE).withColumns({"lang": F.lit(None).cast("string"), "score": F.lit("x"), "held_out": F.lit(1), "kept": F.lit(2), "members": F.lit(3)} | {c: F.lit("x") for c in ("_w", "_bits", "_id", "_gone", "_p", "id_", "mark_", "lines_", "word_", "n_removed", "kept_id", "family", "hi", "lo", "line", "key")} | more)
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -45,7 +46,7 @@ def test_edges(spark, name):
     run = OPERATORS[name]
     out = run(docs_of(spark, EDGES), labels).collect()
     if name == "keep_one":
-        assert sorted((r.doc_id for r in out), key=str) == [1, 2, 3, 4, 5, 6, None]
+        assert sorted((r.doc_id for r in out), key=str) == sorted([2**63 - 1, -(2**63), 1, 2, 3, 4, 5, 6, None], key=str)
     elif name == "packing":
         assert {r.doc_id for r in out} == {r[0] for r in EDGES}
     else:
@@ -207,9 +208,78 @@ TEXT = st.lists(st.sampled_from(["\\", "### ", "</turn>", "<|", ": ", "\n", "Ass
 @given(TEXT, st.sampled_from(["user", "assistant", "", "Odd: role", "=x", "### "]))
 @settings(max_examples=300, deadline=None)
 def test_chat_reads_back(text, role):
-    formatted, _ = chat.format_turn(role, [{"type": "text", "text": text}])
+    formatted, _, spans = chat.format_turn(role, [{"type": "text", "text": text}])
     got_role, content = chat.read_turn(formatted)
     assert (got_role, chat.unescape(content)) == (role, text)
+    assert [chat.unescape(formatted[a:z]) for a, z in spans] == [text] * (role == "assistant")
+
+
+def test_digest_reads_the_loss_mask():
+    """A wrong mask changes the digest of what is learned, and nothing else."""
+    formatted, flat, spans = chat.format_turn("assistant", [{"type": "text", "text": "a \\\\ b"}, {"type": "image", "ref": "x", "size": 1}])
+    rows = []
+    for mask in (spans, [(spans[0][0], spans[0][1] - 1)], []):
+        d = chat.Digest(1)
+        d.add(formatted, flat, mask)
+        rows.append(d.row())
+    assert len({r[4] for r in rows}) == 3 and len({r[:3] + r[5:] for r in rows}) == 1
+    assert rows[0][6:] == (1, 255)
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", None), (1, 1, None, "x"), (1, 1, None, "x"), (2, 0, "assistant", "long " * 200_000), (None, 0, "user", "who"), (None, None, "assistant", "")]
+    shape = "conv_id bigint, turn bigint, role string, text string"
+    clash = {c: F.lit("x") for c in ("n_turns", "loss_chars", "turns_sha256")}
+    got = {r.conv_id: r for r in chat.format_table(spark.createDataFrame(rows, shape).withColumns(clash)).collect()}
+    assert {c: (r.n_turns, r.loss_chars) for c, r in got.items()} == {1: (3, 0), 2: (1, 1_000_000), None: (2, 0)}
+    assert chat.format_table(spark.createDataFrame([], shape)).collect() == []
+
+
+def test_rows_of_one_id_with_unlike_texts_stay(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(docs_of(spark, [(1, a), (1, a), (2, a), (3, b), (1, b)])).collect())
+    assert got == {(1, a): 1, (1, b): 1}
+
+
+def test_toxicity_learns_from_few_rows():
+    """FTRL on a handful of rows, step by step against the plain recurrences."""
+    rows = [(np.array(sorted(x), np.int32).tobytes(), y) for x, y in [({1, 2}, 1), ({1, 3}, 1), ({1, 5}, 1), ({4, 5}, 0), ({4}, 0), ({4, 6}, 0)]]
+    ids, w, bias = toxicity.train(rows, (3, 3))
+    data, seen = sorted(rows), Counter(i for x, _ in rows for i in np.frombuffer(x, np.int32).tolist())
+    z, n, order = Counter(), Counter(), np.random.default_rng(7)
+    weight = lambda i: 0.0 if abs(z[i]) <= (0 if i < 0 else toxicity.L1) else -(z[i] - np.sign(z[i]) * (0 if i < 0 else toxicity.L1)) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(data)):
+            at = [i for i in np.frombuffer(data[k][0], np.int32).tolist() if seen[i] >= toxicity.SEEN] + [-1]
+            g = 1 / (1 + np.exp(-sum(weight(i) for i in at))) - data[k][1]
+            new = {i: g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA * weight(i) for i in at}
+            for i in at:
+                z[i] += new[i]
+                n[i] += g * g
+    expected = {i: weight(i) for i in (1, 4) if weight(i)}
+    assert dict(zip(ids.tolist(), w.tolist(), strict=True)) == pytest.approx(expected, rel=1e-5)
+    prior = np.log(3.5 / 7.5) - np.log(3.5 / 3.5)
+    assert bias == pytest.approx(weight(-1) + prior)
+
+
+def test_quality_votes_like_a_loop():
+    rng = np.random.default_rng(3)
+    known, docs, y = (quality.unit(rng.standard_normal((n, 8)).astype(np.float32)) for n in (60, 20, 60))
+    y = (y[:, 0] > 0).astype(np.float32)
+    for d, got in zip(docs, quality.vote(docs, known, y), strict=True):
+        near = sorted(((float(d @ k), v) for k, v in zip(known, y, strict=True)), reverse=True)[: quality.NEIGHBOURS]
+        w = [max(s, 0) ** quality.SHARPNESS for s, _ in near]
+        assert got == pytest.approx(sum(a * v for a, (_, v) in zip(w, near, strict=True)) / sum(w), rel=1e-3)
+
+
+def test_language_vectors_like_a_loop():
+    e = language.Encoder()
+    text, total = "Ab, c", np.zeros(language.DIMENSIONS)
+    letters = {" ": 0, "a": 97, "b": 98, "c": 99}
+    signs = " ab c "
+    for a, b, c in zip(signs, signs[1:], signs[2:], strict=False):
+        total += np.roll(e.letter(letters[a]), 2) * np.roll(e.letter(letters[b]), 1) * e.letter(letters[c])
+    assert e.vector(text) == pytest.approx(total / np.linalg.norm(total), abs=1e-5)
 
 
 def test_chat_parts():
