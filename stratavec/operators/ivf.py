@@ -30,11 +30,17 @@ def default_nprobe(n_list: int) -> int:
     return min(n_list, max(4, math.floor(math.sqrt(n_list))))
 
 
+#: Mean recall that the probed cells are to give, vectors and neighbours that it is measured with.
+RECALL, MEASURED, NEIGHBOURS = 0.95, 64, 10
+
+
 @dataclass
 class IvfIndex:
     metric: Metric
     centroids: np.ndarray
     nprobe: int = 0
+    #: Measured at build for nprobe; 0 if not measured.
+    recall: float = 0.0
 
     def __post_init__(self):
         self.nprobe = self.nprobe or default_nprobe(len(self.centroids))
@@ -52,18 +58,50 @@ class IvfIndex:
         return IvfIndex(metric, np.array(model.clusterCenters()))
 
     def assign(self, df: DataFrame, field: str, cell: str = "_cell") -> DataFrame:
-        """Adds the number of the nearest centroid; the first, if several are as near."""
-        near = [F.struct(V.distance(self.metric, F.col(field), c.tolist()).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(self.centroids)]
-        return df.withColumn(cell, F.least(*near)["i"] if len(near) > 1 else F.lit(0))
+        """Adds the number of the nearest centroid; the first, if several are as near or there is no vector."""
+        if len(self.centroids) < 2:
+            return df.withColumn(cell, F.lit(0))
+        shared = df.sparkSession.sparkContext.broadcast((self.metric, self.centroids))
+
+        @F.pandas_udf("int")
+        def nearest(vectors: pd.Series) -> pd.Series:
+            metric, centroids = shared.value
+            out = np.zeros(len(vectors), np.int32)
+            some = np.flatnonzero(vectors.notna().to_numpy())
+            for at in range(0, len(some), 1024):
+                part = some[at : at + 1024]
+                out[part] = V.block_distances(metric, centroids, np.stack(vectors.iloc[part].to_numpy()).astype(np.float64)).argmin(0)
+            return pd.Series(out)
+
+        return df.withColumn(cell, nearest(F.col(field)))
+
+    def tune(self, cells: DataFrame, field: str, key: str = "id", recall: float = RECALL, cell: str = "_cell") -> IvfIndex:
+        """Sets the least nprobe whose mean recall of the nearest NEIGHBOURS reaches `recall`, for the MEASURED rows of least hash, by one exact scan of the assigned rows."""
+        rows = cells.where(F.col(field).isNotNull())
+        asked = rows.orderBy(F.xxhash64(key), key).limit(MEASURED).select(key, field).collect()
+        if not asked or not len(self.centroids):
+            return self
+        own = rows.sparkSession.createDataFrame([(i, r[1]) for i, r in enumerate(asked)], f"_asked int, {field} array<double>")
+        near = search.join_topk(own, rows.withColumn("_key", F.struct(key, cell).cast("string")).select("_key", field), field, NEIGHBOURS, self.metric, "_key", "_asked")
+        # the key carries the cell: the last number of the struct's text
+        found = near.select("qid", F.regexp_extract("_key", r"(\d+)\}$", 1).cast("int").alias("cell")).collect()
+        order = {i: {c: n for n, c in enumerate(self.probes(list(r[1]), len(self.centroids)))} for i, r in enumerate(asked)}
+        places = np.array([order[r.qid][r.cell] for r in found])
+        self.nprobe, self.recall = len(self.centroids), 1.0
+        for n in range(1, len(self.centroids) + 1):
+            if (places < n).mean() >= recall:
+                self.nprobe, self.recall = n, float((places < n).mean())
+                break
+        return self
 
     def probes(self, query: list[float], nprobe: int = 0) -> list[int]:
         d = V.block_distances(self.metric, np.array([query], np.float64), self.centroids)[0]
         return np.argsort(d, kind="stable")[: nprobe or self.nprobe].tolist()
 
-    def topk(self, df: DataFrame, field: str, query: list[float], k: int, nprobe: int = 0, key: str = "id", where=None, cell: str = "_cell") -> DataFrame:
+    def topk(self, df: DataFrame, field: str, query: list[float], k: int, nprobe: int = 0, key: str = "id", where=None, cell: str = "_cell", radius: float | None = None) -> DataFrame:
         """Top k within the nearest cells of df, which has been assigned; exact if all cells are probed."""
         condition = as_condition(where, df.schema)
-        return search.topk(df.where(F.col(cell).isin(self.probes(query, nprobe))), field, query, k, self.metric, key, condition)
+        return search.topk(df.where(F.col(cell).isin(self.probes(query, nprobe))), field, query, k, self.metric, key, condition, radius)
 
     def join_topk(self, queries: DataFrame, df: DataFrame, field: str, k: int, nprobe: int = 0, key: str = "id", query_key: str = "id", cell: str = "_cell") -> DataFrame:
         """(qid, rank, key, distance, score): top k within the nearest cells of each of queries(query_key, field)."""
@@ -99,13 +137,14 @@ class IvfIndex:
         return search._merge(parts, k, key)
 
     def write(self, df: DataFrame, field: str, path: str) -> None:
-        """Rows by cell, and the centroids beside them."""
+        """Rows by cell, and the centroids beside them; nprobe is tuned on what was written."""
         self.assign(df, field).write.mode("overwrite").partitionBy("_cell").parquet(f"{path}/cells")
         spark = df.sparkSession
-        rows = [(i, c.tolist(), int(self.metric), self.nprobe) for i, c in enumerate(self.centroids)]
-        spark.createDataFrame(rows, "cell int, centroid array<double>, metric int, nprobe int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        self.tune(spark.read.parquet(f"{path}/cells"), field)
+        rows = [(i, c.tolist(), int(self.metric), self.nprobe, self.recall) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "cell int, centroid array<double>, metric int, nprobe int, recall double").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> tuple[IvfIndex, DataFrame]:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-        return IvfIndex(Metric(rows[0].metric), np.array([r.centroid for r in rows]), rows[0].nprobe), spark.read.parquet(f"{path}/cells")
+        return IvfIndex(Metric(rows[0].metric), np.array([r.centroid for r in rows]), rows[0].nprobe, rows[0].recall), spark.read.parquet(f"{path}/cells")

@@ -135,7 +135,7 @@ def group_topk(df: DataFrame, field: str, query: list[float], by: str, groups: i
     return rows.withColumn("score", V.score(F.col("distance")))
 
 
-def sparse_topk(df: DataFrame, field: str, indices: list[int], values: list[float], k: int, key: str = "id", where=None) -> DataFrame:
+def sparse_topk(df: DataFrame, field: str, indices: list[int], values: list[float], k: int, key: str = "id", where=None, radius: float | None = None) -> DataFrame:
     """Top k by 1 minus the product with a sparse query; rows without a shared index have distance 1."""
     check_query(indices, k)
     if len(indices) != len(values):
@@ -143,11 +143,13 @@ def sparse_topk(df: DataFrame, field: str, indices: list[int], values: list[floa
     query = F.struct(F.array(*[F.lit(int(i)) for i in indices]).alias("indices"), F.array(*[F.lit(float(v)) for v in values]).alias("values"))
     rows = df.where(as_condition(where, df.schema)).where(F.col(field).isNotNull())
     rows = rows.withColumn("distance", V.sparse_inner_product(F.col(field), query))
+    if radius is not None:
+        rows = rows.where(F.col("distance") <= radius)
     return _by_rank(rows, k, key).withColumn("score", V.score(F.col("distance")))
 
 
-def coded_topk(df: DataFrame, field: str, query: list[float], k: int, metric: Metric = Metric.COSINE, key: str = "id", where=None, candidates: int = 0) -> DataFrame:
-    """Top k by distances to 4-bit codes of scale 1 (values clamped to [-1, 1]); with candidates > 0, those are ranked again exactly."""
+def coded_topk(df: DataFrame, field: str, query: list[float], k: int, metric: Metric = Metric.COSINE, key: str = "id", where=None, candidates: int = 0, radius: float | None = None) -> DataFrame:
+    """Top k by distances to 4-bit codes of scale 1 (values clamped to [-1, 1]); with candidates > 0, those are ranked again exactly.  The radius holds for the distance that is returned."""
     from ..functions.quantizers import Int4
 
     check_query(query, k)
@@ -161,4 +163,6 @@ def coded_topk(df: DataFrame, field: str, query: list[float], k: int, metric: Me
     rows = rows.withColumn("distance", V.distance(near, coder.rounded(v), q.tolist()))
     if candidates > 0:
         rows = _by_rank(rows, max(k, candidates), key).withColumn("distance", V.distance(metric, F.col(field), query))
+    if radius is not None:
+        rows = rows.where(F.col("distance") <= radius)
     return _by_rank(rows, k, key).withColumn("score", V.score(F.col("distance")))

@@ -1,7 +1,7 @@
 """Collections: documents under a schema, with a change log, snapshots and searches.
 
     <path>/schema.json     schema, options
-    <path>/CURRENT         snapshot version, epoch of the change log, last LSN, next doc id
+    <path>/CURRENT         snapshot version, epoch of the change log, last LSN, next doc id (numbered files, see Folder)
     <path>/snapshots/v<n>  documents (Parquet)
     <path>/changes/e<n>/<first LSN>  one folder a write: (lsn, op, id, doc_id, fields)
     <path>/index/<field>   centroids and cells of an IVF field
@@ -9,7 +9,8 @@
 The state is the snapshot without changed ids, and the last change of each
 changed id.  Writes check the whole batch first and append one folder, so they
 are all or nothing: a folder counts once CURRENT names its LSNs.  Indexes are
-plans over the state, so they are never behind it.
+plans over the state, so they are never behind it; the cells of an IVF field are
+read together with what was changed after they were written.
 """
 
 from __future__ import annotations
@@ -60,6 +61,7 @@ class Collection:
         self.folder = Folder(spark, path) if path else None
         self._frame = frame
         self._closed = False
+        self._staged = ""
 
     # Lifecycle
 
@@ -148,14 +150,21 @@ class Collection:
         self._closed = True
         self.folder.delete()
 
-    def _rewrite(self, docs: DataFrame, schema: CollectionSchema | None = None, rows_per_file: int = 0) -> None:
+    def _rewrite(self, docs: DataFrame, schema: CollectionSchema | None = None, rows_per_file: int = 0, index: bool = True) -> None:
         now = self._current()
         version = now["version"] + 1
         docs.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(self.folder.at(f"snapshots/v{version}"))
         if schema:
             self.schema = schema
             self._write_schema()
-        self.folder.write("CURRENT", now | {"version": version, "epoch": now["epoch"] + 1})
+        built = {f.name: self._built(f.name) for f in self.schema.with_index(IndexType.IVF)}
+        then = now | {"version": version, "epoch": now["epoch"] + 1}
+        self.folder.write("CURRENT", then)
+        for name, at in built.items():
+            if at == now and not schema:  # the same documents elsewhere
+                self.folder.write(f"index/{name}/built.json", then)
+            elif at and index:
+                self._build_ivf(name)
         for old in (f"snapshots/v{now['version'] - 1}", f"changes/e{now['epoch'] - 1}"):  # the last state stays for readers under way
             self.folder.delete(old)
 
@@ -247,7 +256,8 @@ class Collection:
     def _stage(self, docs: DataFrame | list[dict]) -> DataFrame:
         """The checked batch, written once, numbered in input order."""
         self._usable(write=True)
-        at = self.folder.at(f"staging/{uuid.uuid4().hex}")
+        self._staged = f"staging/{uuid.uuid4().hex}"
+        at = self.folder.at(self._staged)
         numbered = self._frame_of(docs).withColumn("_at", F.monotonically_increasing_id())
         numbered.write.parquet(at)
         batch = self.spark.read.schema(numbered.schema).parquet(at)
@@ -256,7 +266,7 @@ class Collection:
         wrong = [f"{text} in {bad[str(i)]} documents" for i, (text, _) in enumerate(rules) if bad[str(i)]]
         repeated = [] if wrong else [r.id for r in batch.groupBy("id").count().where("count > 1").limit(3).collect()]
         if wrong or repeated:
-            self.folder.delete(at[len(self.folder.root) + 1 :])
+            self._unstage()
             raise AlreadyExists(f"ids twice in a batch: {repeated}") if repeated else InvalidArgument("; ".join(wrong))
         return batch
 
@@ -278,6 +288,23 @@ class Collection:
         ranked = batch.withColumn("_p", part).withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(place)))
         return ranked.join(F.broadcast(offsets), "_p").withColumn("_n", F.col("_first") + F.col("_r") - 1).drop("_p", "_r", "_first"), n
 
+    def _built(self, name: str) -> dict | None:
+        """The state that a field's cells were written from."""
+        at = f"index/{name}/built.json"
+        return self.folder.read(at) if self.folder and self.folder.exists(at) else None
+
+    def _cells(self, name: str) -> tuple[IvfIndex, DataFrame] | None:
+        """Index and cells of the state as it is: the cells as written, without what was changed since, and that with cells of its own; None if the cells are of another snapshot."""
+        built, now = self._built(name), self._current() if self.folder else None
+        if not built or (built["version"], built["epoch"]) != (now["version"], now["epoch"]):
+            return None
+        index, cells = IvfIndex.read(self.spark, self.folder.at(f"index/{name}"))
+        if built["lsn"] == now["lsn"]:
+            return index, cells
+        last = self.changes().where(F.col("lsn") > built["lsn"]).groupBy("id").agg(F.max_by(F.struct(*self._log_shape().fieldNames()), "lsn").alias("c")).select("c.*")
+        kept = last.where(F.col("op") != int(DocOp.DELETE)).select(*self._shape().fieldNames())
+        return index, cells.join(last.select("id"), "id", "left_anti").unionByName(index.assign(kept, name))
+
     def _append(self, rows: DataFrame, op: DocOp, next_doc_id: int | None = None) -> int:
         """Appends rows(id, doc_id, fields, _at) to the log; the number of rows."""
         now = self._current()
@@ -286,9 +313,15 @@ class Collection:
         out.select(*self._log_shape().fieldNames()).write.mode("overwrite").parquet(self.folder.at(f"changes/e{now['epoch']}/{now['lsn'] + 1:020d}"))
         n = end - now["lsn"] - 1
         self.folder.write("CURRENT", now | {"lsn": end - 1, "next_doc_id": next_doc_id or now["next_doc_id"]})
-        self.folder.delete("staging")
+        self._unstage()
         return n
 
+    def _unstage(self) -> None:
+        """Takes away what this writer staged, and no other's."""
+        if self._staged:
+            self.folder.delete(self._staged)
+            self._staged = ""
+
     def _ids(self) -> DataFrame:
         return self.docs().select("id", F.col("doc_id").alias("_old"))
 
@@ -296,7 +329,7 @@ class Collection:
         batch = self._stage(docs)
         known = [r.id for r in batch.join(self._ids(), "id", "left_semi").select("id").limit(3).collect()]
         if known:
-            self.folder.delete("staging")
+            self._unstage()
             raise InvalidArgument(f"ids exist: {known}")
         rows, next_id = self._numbered(batch, self._current()["next_doc_id"])
         return self._append(rows.withColumn("doc_id", F.col("_n")).drop("_n"), DocOp.INSERT, next_id)
@@ -313,14 +346,15 @@ class Collection:
         batch = self._stage(docs)
         unknown = [r.id for r in batch.join(self._ids(), "id", "left_anti").select("id").limit(3).collect()]
         if unknown:
-            self.folder.delete("staging")
+            self._unstage()
             raise NotFound(f"no such ids: {unknown}")
         return self._append(batch.join(self._ids(), "id").withColumn("doc_id", F.col("_old")).drop("_old"), DocOp.UPDATE)
 
     def _remove(self, gone: DataFrame) -> int:
         names = [f.name for f in self._shape().fields if f.name not in ("id", "doc_id")]
         rows = gone.select("id", "doc_id", *[F.lit(None).cast(self._shape()[n].dataType).alias(n) for n in names], F.monotonically_increasing_id().alias("_at"))
-        at = self.folder.at(f"staging/{uuid.uuid4().hex}")
+        self._staged = f"staging/{uuid.uuid4().hex}"
+        at = self.folder.at(self._staged)
         rows.write.parquet(at)
         return self._append(self.spark.read.schema(rows.schema).parquet(at), DocOp.DELETE)
 
@@ -403,7 +437,7 @@ class Collection:
     def optimize(self) -> None:
         """Rewrites the snapshot and trains the cells of IVF fields anew."""
         self._usable(write=True)
-        self._rewrite(self.docs())
+        self._rewrite(self.docs(), index=False)
         for f in self.schema.with_index(IndexType.IVF):
             self._build_ivf(f.name)
 
@@ -424,16 +458,15 @@ class Collection:
         f = self._vector_field(route.field)
         docs = self.docs()
         if f.type.is_sparse_vector:
-            return search.sparse_topk(docs, f.name, route.indices or [], route.vector or [], k, where=where)
+            return search.sparse_topk(docs, f.name, route.indices or [], route.vector or [], k, where=where, radius=kw.get("radius"))
         if not route.vector:
             raise InvalidArgument("the query vector is empty")
         search.check_query(route.vector, k, f.dimension)
         if isinstance(f.index, HnswRabitqParams) and not kw.get("exact"):
-            return search.coded_topk(docs, f.name, route.vector, k, f.index.metric, where=where, candidates=kw.get("refine", 0))
-        if isinstance(f.index, IvfParams) and not kw.get("exact") and self.folder and self.folder.exists(f"index/{f.name}/built.json"):
-            if self.folder.read(f"index/{f.name}/built.json")["lsn"] == self._current()["lsn"]:
-                index, cells = IvfIndex.read(self.spark, self.folder.at(f"index/{f.name}"))
-                return index.topk(cells, f.name, route.vector, k, kw.get("nprobe", 0), where=where)
+            return search.coded_topk(docs, f.name, route.vector, k, f.index.metric, where=where, candidates=kw.get("refine", 0), radius=kw.get("radius"))
+        if isinstance(f.index, IvfParams) and not kw.get("exact") and (found := self._cells(f.name)):
+            index, cells = found
+            return index.topk(cells, f.name, route.vector, k, kw.get("nprobe", 0), where=where, radius=kw.get("radius"))
         return search.topk(docs, f.name, route.vector, k, self.metric(f.name), where=where, radius=kw.get("radius"))
 
     def fts(self, name: str) -> fts.FtsIndex:

@@ -1,11 +1,13 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import stratavec
 from stratavec import Collection, CollectionSchema, Config, Field, Options, Route
-from stratavec.errors import AlreadyExists, Code, FailedPrecondition, InvalidArgument, NotFound, PermissionDenied
+from stratavec.errors import AlreadyExists, Code, FailedPrecondition, InvalidArgument, NotFound, PermissionDenied, Unavailable
 from stratavec.functions.filters import MetadataFilter
 from stratavec.operators import fts, fusion
+from stratavec.sources.files import Folder
 from stratavec.streaming.changelog import apply_batch
 from stratavec.types import DataType, FlatParams, FtsParams, HnswParams, HnswRabitqParams, IndexType, IvfParams, Metric, RerankType
 
@@ -219,3 +221,61 @@ def test_many_documents_keep_gapless_ids(spark, tmp_path):
     c = Collection.create(spark, f"file://{tmp_path}/n", CollectionSchema("n", [Field("x", DataType.INT64, True)]))
     c.insert(spark.range(1000).repartition(7).select(F.col("id").cast("string").alias("id"), F.col("id").alias("x")))
     assert sorted(r.doc_id for r in c.docs().collect()) == list(range(1, 1001))
+
+
+def test_small_files_survive_a_crash_and_refuse_a_second_writer(spark, tmp_path):
+    folder = Folder(spark, f"file://{tmp_path}")
+    folder.write("CURRENT", {"n": 1})
+    folder.write("CURRENT", {"n": 2})
+    (tmp_path / "CURRENT.000000000003").write_text('{"n": ')  # a writer died here
+    other = Folder(spark, f"file://{tmp_path}")
+    assert other.read("CURRENT") == {"n": 2} and folder.read("CURRENT") == {"n": 2}
+    other.write("CURRENT", {"n": 3})
+    with pytest.raises(Unavailable):
+        folder.write("CURRENT", {"n": 4})
+    assert folder.read("CURRENT") == {"n": 3}
+    folder.write("CURRENT", {"n": 4})
+    assert other.read("CURRENT") == {"n": 4}
+
+
+def test_a_write_that_died_before_its_pointer_does_not_count(spark, tmp_path):
+    schema = CollectionSchema("c", [Field("age", DataType.INT32, True)])
+    c = Collection.create(spark, f"file://{tmp_path}/c", schema)
+    c.insert([{"id": "a", "age": 1}])
+    write = c.folder.write
+    c.folder.write = lambda *_: (_ for _ in ()).throw(OSError("killed"))
+    with pytest.raises(OSError):
+        c.upsert([{"id": "a", "age": 2}, {"id": "b", "age": 3}])
+    c.folder.write = write
+    again = Collection.open(spark, f"file://{tmp_path}/c")
+    assert [(r.id, r.age) for r in again.rows().collect()] == [("a", 1)]
+    again.upsert([{"id": "b", "age": 4}])
+    assert sorted((r.id, r.age) for r in again.rows().collect()) == [("a", 1), ("b", 4)]
+
+
+def test_cells_follow_writes_and_schema_changes(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((200, 4)).astype(np.float32).tolist()
+    c = Collection.create(spark, f"file://{tmp_path}/c", CollectionSchema("c", [Field("n", DataType.INT32, True), Field("v", DataType.VECTOR_FP32, False, 4, IvfParams(Metric.L2, n_list=6))]))
+    c.upsert([{"id": f"d{i}", "n": i, "v": x} for i, x in enumerate(v)])
+    c.optimize()
+    index, _ = c._cells("v")
+    assert 0.95 <= index.recall <= 1
+
+    def same(**kw):
+        q = [0.1, 0.2, 0.3, 0.4]
+        got = [r.id for r in c.query(Route("v", q), 8, nprobe=6, **kw).collect()]
+        assert got == [r.id for r in c.query(Route("v", q), 8, exact=True, **kw).collect()]
+        return got
+
+    first = same()[0]
+    c.delete([first])
+    c.upsert([{"id": "new", "n": 7, "v": [0.1, 0.2, 0.3, 0.4]}, {"id": "d5", "n": 5, "v": [9.0, 9.0, 9.0, 9.0]}])
+    assert c._cells("v") and same()[0] == "new" and first not in same()
+    assert 0 < len(same(radius=0.5)) < 8
+    c.add_column(Field("more", DataType.INT32, True), "n + 1")
+    assert c._cells("v") and same(where="more >= 100")
+    c.snapshot()
+    assert c._cells("v") and same()[0] == "new"
+    c.alter_column("more", "other")
+    assert c._cells("v") and same(where="other >= 100")
