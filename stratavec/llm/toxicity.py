@@ -89,7 +89,7 @@ def train(rows: list[tuple[bytes, int]], known: tuple[int, int]) -> tuple[np.nda
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> tuple:
     """Learns from at most `sample_rows` labelled documents outside the held-out fold."""
-    own, known = labelled_rows(docs, labels, label, sample_rows)
+    own, known = labelled_rows(docs, labels, label, sample_rows, balanced=True)
     rows = own.mapInArrow(featurise, "x binary, y int").collect()
     return train([(bytes(r.x), r.y) for r in rows], known)
 

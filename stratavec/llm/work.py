@@ -47,20 +47,24 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[DataFrame, tuple[int, int]]:
-    """(text, y) of at most `limit` labelled documents outside the held-out fold, half of them of each kind if there are so many; and the counts of labelled documents (1, 0).
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, balanced: bool = False) -> tuple[DataFrame, tuple[int, int]]:
+    """(text, y) of at most `limit` labelled documents outside the held-out fold, and the counts of labelled documents (1, 0).
 
-    Of each kind the documents with the smallest hash of doc_id are taken, so
-    the sample doesn't depend on partitioning and rare ones are in it.  Null ids
+    The documents with the smallest hash of doc_id are taken, so the sample
+    doesn't depend on partitioning; balanced: half of them of each kind if there
+    are so many, so that rare ones are in it.  Null ids
     and labels are left out; a document with several labels counts once, with
     the largest; of several rows of a document the least text counts.
     """
     y = F.when(F.col(label) > 0, 1).otherwise(0)
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(y).alias("y"))
     n, ones = own.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    half = limit // 2
-    shares = {1: min(ones, max(half, limit - (n - ones))), 0: min(n - ones, max(half, limit - ones))}
-    few = [r for k, most in shares.items() for r in own.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    least = lambda rows, most: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    if balanced:
+        half = limit // 2
+        few = least(own.where("y = 1"), max(half, limit - (n - ones))) + least(own.where("y = 0"), max(half, limit - ones))
+    else:
+        few = least(own, limit)
     few = labels.sparkSession.createDataFrame(few, "doc_id bigint, y int")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     return rows.select("text", "y"), (ones, n - ones)

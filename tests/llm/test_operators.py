@@ -524,6 +524,29 @@ def test_halves_are_those_of_words(size):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_sets_of_lines_are_linked_like_a_loop():
+    rng = np.random.default_rng(15)
+    base = ["".join(rng.choice(list("abcdefgh "), 40)).strip() for _ in range(6)]
+    sets = []
+    for n in (2, 2, 1, 2, 5, 9, 3, 2):
+        own = {}
+        while len(own) < n:
+            x = list(base[int(rng.integers(3))])
+            for at in rng.integers(0, len(x), int(rng.integers(0, 6))):
+                x[at] = "z"
+            own.setdefault(linededup.normalise("".join(x)))
+        sets.append(list(own))
+    lines = [x for s in sets for x in s]
+    sims = np.zeros((len(lines), 2), np.uint64)
+    label = linededup.link_lines(lines, sims, linededup.profiles(lines), [len(s) for s in sets])
+    at = 0
+    for s in sets:
+        near = [(i, j) for i in range(len(s)) for j in range(i) if brute.edit_distance(s[i], s[j]) <= int(0.1 * max(len(s[i]), len(s[j])) + 1e-9)]
+        expected, got = brute.components(len(s), near), label[at : at + len(s)].tolist()
+        assert len(set(zip(expected, got, strict=True))) == len(set(expected)) == len(set(got))
+        at += len(s)
+
+
 def test_lowest_shingles():
     rng = np.random.default_rng(7)
     sizes = rng.integers(1, 12, 50)
