@@ -22,9 +22,11 @@ def held_out(doc_id) -> F.Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder in spark.checkpoint.dir; a temporary one only where that is unset and the driver is the only machine (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="stratavec-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
