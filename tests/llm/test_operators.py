@@ -574,3 +574,33 @@ def test_pipeline(spark, sf_dir):
     assert n * 0.7 < docs.count() < n
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_scratch_keeps_no_shuffle_files(spark):
+    import time
+
+    from stratavec.llm.work import CLEANUP
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {str(f) for f in manager.getAllBlocks().mkString("\n").split("\n") if f.startswith("shuffle")}
+    before, conf = files(), spark.conf.get(CLEANUP)
+    kept = Scratch(spark).keep(spark.range(1000).repartition(3, "id"), "t")
+    for _ in range(50):  # they go in the background
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(CLEANUP) == conf
+    assert kept.count() == 1000
+
+
+def test_used_up_tables_are_dropped(spark, monkeypatch):
+    import os
+
+    made = []
+    init = Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, s: (init(self, s), made.append(self.root.removeprefix("file://")))[0])
+    line = "the quick brown fox jumps over the lazy dog again and again"
+    docs = spark.createDataFrame([(1, f"{line}\nown line"), (2, line), (3, line.replace("quick", "quack"))], "doc_id bigint, text string")
+    assert [r.text for r in linededup.dedup_lines(docs).orderBy("doc_id").collect()] == [f"{line}\nown line", "", ""]
+    neardup.keep_one(docs).count()
+    assert [sorted(os.listdir(x)) for x in made] == [["gone"], ["described", "named"]]
