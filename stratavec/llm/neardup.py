@@ -265,9 +265,11 @@ def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, fami
     lists = postings.groupBy("key").agg(F.min("hi").alias("least"), F.max("hi").alias("most")).where("least < most").select("key", "least")
     ties = postings.join(lists.hint("merge"), "key").where("hi <> least").select(F.col("hi").alias("a"), F.col("least").alias("b")).distinct()
     families = components(spark, scratch.keep(ties, "ties"), "bigint", scratch, "families")
+    scratch.drop("ties")
 
     members = classes.join(families, classes.hi == families.node).select("hi", "lo", "rep", "n", F.col("label").alias("family"))
     members = scratch.keep(members, "members")
+    scratch.drop("families-labels")
     sizes = members.groupBy("family").agg(F.sum("n").alias("size"))
     large = sizes.where(F.col("size") > family).select("family")
     wanted = Members(members.select("rep")).pick(docs, "doc_id")
@@ -284,6 +286,7 @@ def grouped(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, fami
 
     named = classes.join(linked, ["hi", "lo"], "left").select("hi", "lo", "members", F.coalesce("component_id", "rep").alias("component_id"))
     named = scratch.keep(named, "named")
+    scratch.drop("classes", "members", "large-families", "large")
     out = spread_join(described.drop("keys"), named, ["hi", "lo"], "component_id")
     group = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     group = F.when(F.col("doc_id").isNotNull(), group)
