@@ -604,3 +604,14 @@ def test_used_up_tables_are_dropped(spark, monkeypatch):
     assert [r.text for r in linededup.dedup_lines(docs).orderBy("doc_id").collect()] == [f"{line}\nown line", "", ""]
     neardup.keep_one(docs).count()
     assert [sorted(os.listdir(x)) for x in made] == [["gone"], ["described", "named"]]
+
+
+def test_distance_of_long_lines_is_exact_up_to_the_limit():
+    import random
+
+    r = random.Random(3)
+    a = "".join(r.choice("abcdefgh ") for _ in range(1500))
+    b = a[:200] + "".join(r.choice("abcdefgh ") for _ in range(130)) + a[320:900] + a[930:]
+    d = brute.edit_distance(a, b)
+    assert linededup.edits(a, b, d) == d == linededup.edits(b, a, d + 40) and linededup.edits(a, b, d - 1) >= d
+    assert linededup.edits(a, "".join(r.choice("ijk") for _ in range(1500)), 150) > 150
